@@ -3,7 +3,8 @@
 Each document of a source should be taken target / source size times.  The whole part is certain; the fraction is
 rounded by the pivotal method: two documents with fractional copies exchange mass (words), in a random direction that
 keeps both expectations, until one of them is integral; the other goes on to the next.  The words of a pair stay what
-they were, so a source ends within one document of its target.  Pairs are met in a reduction tree: documents fall by
+they were, so a source ends within one document of its target; a chunk goes from its largest documents to its smallest,
+so the document that is left over tends to be small.  Pairs are met in a reduction tree: documents fall by
 hash into chunks of about FAN_IN, a chunk folds to one document that is still fractional, and these fold again, level
 by level, until one is left for each source, which is settled by a last draw.  All draws are hashes of ids.
 """
@@ -75,7 +76,7 @@ def _fold(units: DataFrame, level: int, id_type: str, seed: int) -> DataFrame:
         ELSE {state(done(j, 'true'), i, 'c.carry.m - (x.w - x.m)')} END"""
     out = f"struct<settled:{settled},carry:{unit}>"
     fold = f"aggregate(units, cast(named_struct('settled', array(), 'carry', NULL) AS {out}), (c, x) -> cast({step} AS {out}))"
-    chunks = units.groupBy("source", "chunk").agg(F.array_sort(F.collect_list(F.struct("id", "w", "m"))).alias("units"))
+    chunks = units.groupBy("source", "chunk").agg(F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("by_size"), "id", "w", "m"))).alias("units"))
     return chunks.select("source", F.expr(fold).alias("f")).select("source", "f.settled", "f.carry")
 
 
