@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontaminate, mixing, quality, simhash, suffix_dedup, token_counts, token_store
+from newsloom.llm import decontaminate, html_extract, mixing, quality, simhash, suffix_dedup, token_counts, token_store
 from newsloom.tables import read_table
 
 
@@ -46,7 +46,11 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", F.col("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_token_ids, op5_quality_rules, op6_simhash, op7_decontaminate, op8_suffix_dedup, op9_mix_sources)}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(read_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_token_ids, op5_quality_rules, op6_simhash, op7_decontaminate, op8_suffix_dedup, op9_mix_sources, op10_html_text)}
 
 _OP7 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
