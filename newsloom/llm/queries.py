@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontaminate, html_extract, mixing, quality, simhash, suffix_dedup, token_counts, token_store
+from newsloom.llm import decontaminate, html_extract, mixing, quality, simhash, suffix_dedup, token_counts, token_store, url_filter
 from newsloom.tables import read_table
 
 
@@ -20,6 +20,19 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+#: The rules of the URL query, and the host labels whose pages' canonical URLs make up its list.
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+SPAM_LABELS = ("spam-farm", "free-bets", "cheap-pills", "casino-win", "ads-track", "adult-x")
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    host = url_filter.host_and_path(F.col("url"))[0]
+    listed = pages.where(F.arrays_overlap(F.split(host, r"\."), F.array(*map(F.lit, SPAM_LABELS)))).select(url_filter.canonical(F.col("url")).alias("key"))
+    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    return url_filter.judge_urls(pages, rules, listed)
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, shards = token_store.write_ids(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return token_store.read_ids(spark, folder, shards)
@@ -35,7 +48,8 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +64,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_text(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_token_ids, op5_quality_rules, op6_simhash, op7_decontaminate, op8_suffix_dedup, op9_mix_sources, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_url_filter, op4_token_ids, op5_quality_rules, op6_simhash, op7_decontaminate, op8_suffix_dedup, op9_mix_sources, op10_html_text)}
 
 _OP7 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -68,4 +82,14 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {}
+_OP3 = r"""
+WITH r(rule, v) AS (VALUES ('com/', 'allow'), ('example.com/en/', 'block'), ('www.example.com/en/', 'allow'), ('net/es/', 'block'), ('net/fr/', 'block')),
+a AS (SELECT page_id, row_number() OVER () AS k, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, k, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+f AS (SELECT k, rule, v, row_number() OVER (PARTITION BY k ORDER BY length(rule) DESC, rule) AS n FROM p JOIN r
+      ON ('.' || host) LIKE ('%.' || split_part(rule, '/', 1)) AND host <> '' AND starts_with(path, substr(rule, instr(rule, '/'))))
+SELECT page_id, host, path, f.rule, coalesce(v, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed
+FROM (SELECT *, len(list_intersect(string_split(host, '.'), ['spam-farm', 'free-bets', 'cheap-pills', 'casino-win', 'ads-track', 'adult-x'])) > 0 AS listed FROM p) p LEFT JOIN f ON f.k = p.k AND f.n = 1
+"""
+
+ORACLE_SQL = {"op3_url_filter": _OP3, "op7_decontaminate": _OP7}
