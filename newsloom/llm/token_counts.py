@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-#: Pre-tokens kept per worker, and the longest one that is kept (characters).
+#: Pre-tokens kept by each of two generations of a worker's memo, and the longest one that is kept (characters).
 MEMO_SIZE, MEMO_CHARS = 500_000, 48
 #: Symbols merged at once.
 BATCH_SYMBOLS = 2_000_000
@@ -60,6 +60,7 @@ class ArrayMerger:
             raise ValueError("pieces of this vocabulary cross line ends")
         self.apart = {c: c not in inside for c in self.char}
         self.memo: dict[str, int] = {}
+        self.older: dict[str, int] = {}
 
     def counts(self, words: list[str]) -> np.ndarray:
         """The number of tokens of each pre-token."""
@@ -135,14 +136,18 @@ class ArrayMerger:
 
     def text_counts(self, texts: list[str]) -> list[int]:
         """The number of tokens of each whole text."""
-        if len(self.memo) > MEMO_SIZE:
-            self.memo.clear()
-        memo = self.memo
+        if len(self.memo) > MEMO_SIZE:  # what is still in use moves to the new generation
+            self.memo, self.older = {}, self.memo
+        memo, older = self.memo, self.older
         split = [pre_tokens(t) for t in texts]
-        new = {w for words in split for w in words if w not in memo}
+        listed: list[str] = []
+        for w in {w for words in split for w in words if w not in memo}:
+            if w in older:
+                memo[w] = older[w]
+            else:
+                listed.append(w)
         fresh: dict[str, int] = {}
-        if new:
-            listed = list(new)
+        if listed:
             fresh = dict(zip(listed, self.counts(listed).tolist(), strict=True))
             memo.update({w: n for w, n in fresh.items() if len(w) <= MEMO_CHARS})
             fresh = {w: n for w, n in fresh.items() if len(w) > MEMO_CHARS}
