@@ -56,7 +56,7 @@ def merge_tracker(tracker: DataFrame, changes: DataFrame, now: str) -> DataFrame
     return both.select(
         F.coalesce("id", new_id).alias("id"), *LINEAGE_KEY, *(F.when(hit, F.col(f"_{x}")).otherwise(F.col(x)).alias(x) for x in REFRESHED),
         "owner", F.coalesce("status", F.lit("pending")).alias("status"), F.coalesce("created_at", at).alias("created_at"), F.when(hit, at).otherwise(F.col("updated_at")).alias("updated_at"),
-    )
+    ).select(*tracker.columns)
 
 
 def apply_actions(tracker: DataFrame, actions: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:

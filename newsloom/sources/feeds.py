@@ -31,7 +31,8 @@ def read_feed_items(spark: SparkSession, path: str, sources: DataFrame) -> tuple
     href = F.coalesce(F.get(F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), 0)["_href"], F.get("link", 0)["_href"])
     atom = atom.select("_file", "_corrupt", "title", href.alias("link"), parse_feed_date(F.col("published"), F.col("updated")).alias("published_at"), F.col("summary").alias("text"), F.col("content").alias("body"))
     both = rss.unionByName(atom).withColumn("source", F.regexp_replace("_file", r"\.[^.]*$", ""))
-    rejected = both.where("_corrupt IS NOT NULL").select("source", "_corrupt")
+    # Spark parses a record only if some column besides the corrupt one is asked for
+    rejected = both.where("_corrupt IS NOT NULL AND length(coalesce(title, '')) >= 0").select("source", "_corrupt")
     rows = both.where("_corrupt IS NULL").withColumn("title", F.trim("title")).withColumn("url", F.trim("link")).where("title <> '' AND url <> ''")
     rows = rows.join(F.broadcast(sources.where("kind = 'rss'").select("source", "exclude_patterns", "link_patterns", "prefer_feed_content", "source_ord")), "source")
     rows = rows.where(feed_entry_allowed(F.col("url"), F.col("title"), F.col("exclude_patterns"), F.col("link_patterns")))
