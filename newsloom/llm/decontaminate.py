@@ -71,10 +71,9 @@ class TestSuffixes:
         if not len(self.keys) or not len(ids):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         # known words from each position on, not past the document's end
-        stop = np.zeros(len(ids) + 1, dtype=bool)
-        stop[np.flatnonzero(ids == 0)] = True
-        breaks = np.union1d(np.flatnonzero(stop), ends)
-        run = breaks[np.searchsorted(breaks, np.arange(len(ids)))] - np.arange(len(ids))
+        breaks = np.union1d(np.flatnonzero(ids == 0), ends)
+        run = breaks[np.searchsorted(breaks, np.arange(len(ids)), side="right")] - np.arange(len(ids))
+        run[ids == 0] = 0
         able = np.flatnonzero(run >= self.sizes.min())
         if not len(able):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -164,7 +163,7 @@ def load_tests(benchmark: DataFrame, item_col: str = "item_id", text_col: str =
     out = []
     for k in range(blocks):
         part = benchmark if blocks == 1 else benchmark.where(F.pmod(F.xxhash64(item_col, text_col), F.lit(blocks)) == k)
-        out.append(spark.sparkContext.broadcast(TestSuffixes.of([tuple(r) for r in part.select(item_col, text_col).toArrow().to_pandas().astype(object).where(lambda x: x.notna(), None).itertuples(index=False)])))
+        out.append(spark.sparkContext.broadcast(TestSuffixes.of([tuple(r.values()) for r in part.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).toArrow().to_pylist()])))
     return out
 
 
