@@ -119,7 +119,7 @@ def fit_forest(good: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed
     deepest = int(np.ceil(np.log2(max(rows, 2)))) + 1
     column, split, left, right, roots = [], [], [], [], []
     low, high = good.min(axis=0), good.max(axis=0)
-    margin = np.where(high > low, 0.25 * (high - low), 0.05)
+    margin = np.maximum(high - low, 0.2)
 
     def grow(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int) -> int:
         node = len(column)
