@@ -132,9 +132,9 @@ def judge_texts(texts: list[str | None], tests: list[TestSuffixes]) -> list[dict
             before = (d, g, diagonal, at)
             items[d].update(test.groups[g])
             length = at + size - begin
-            best = longest.get(d)
-            if best is None or (-length, begin) < (-best[0], best[1]):
-                longest[d] = (length, begin, min(test.groups[g], default=""))
+            best, item = longest.get(d), min(test.groups[g], default="")
+            if best is None or (-length, begin, item) < (-best[0], *best[1:]):
+                longest[d] = (length, begin, item)
     return [_summary(n, spans[d], items[d], longest.get(d)) for d, n in enumerate(lengths.tolist())]
 
 
