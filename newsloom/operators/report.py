@@ -101,6 +101,6 @@ def memo_markdown(reports: DataFrame, items: DataFrame, citations: DataFrame, p:
     top = F.concat_ws(
         "\n", F.lit(f"# {_label(p, 'report_title')}\n"), F.concat(F.lit("**Generated:** "), generated, F.lit(f" {zone}")),
         F.concat(F.lit("**Scoring LLM:** "), F.col("scoring_provider"), F.lit(" / "), F.col("scoring_model")), F.concat(F.lit("**Analysis LLM:** "), F.col("analysis_provider"), F.lit(" / "), F.col("analysis_model")),
-        F.lit(f"**Profile:** {p.id}"), F.lit(f"**Sources:** {_label(p, 'sources_line')}\n"),
+        F.lit(f"**Profile:** {p.id}"), F.lit(f"**Summary style:** {p.labels.get('summary_style', 'base')}"), F.lit(f"**Sources:** {_label(p, 'sources_line')}\n"),
     )
     return out.select(*report_key, F.concat_ws("\n", top, *parts, F.lit("---")).alias("body"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import dates, text
 from newsloom.functions.replies import parse_analysis, parse_score
 from newsloom.operators import gate, inference, merge, quality, rank, report, scored, similarity
-from newsloom.plans.views import AS_OF, MODELS, NOW, PROFILE, SQL_VIEWS, analyses_v, articles_v, models_v, scores_v
+from newsloom.plans.views import AS_OF, MODELS, NOW, PROFILE, SQL_VIEWS, analyses_v, articles_v, each_model, models_v, scores_v
 from newsloom.profiles import keywords_table, sources_table
 from newsloom.sources import pages as page_source
 from newsloom.streaming.ingest import source_counts
@@ -258,7 +258,7 @@ def known_hash_skip(spark, sf_dir):
 
 @query("SELECT article_id, provider, model FROM articles_v CROSS JOIN models_v WHERE (article_id + k) % 3 = 0")
 def exclude_scored(spark, sf_dir):
-    plan = articles_v(spark, sf_dir).select("article_id").join(F.broadcast(models_v(spark)))
+    plan = articles_v(spark, sf_dir).select("article_id", each_model()).select("article_id", "m.*")
     return scored.exclude_scored(plan, scores_v(spark, sf_dir)).select("article_id", "provider", "model")
 
 
@@ -447,7 +447,7 @@ def report_totals(spark, sf_dir):
 SELECT provider, model, count(*) FILTER (NOT had) AS attempted, count(*) FILTER (NOT had AND ok) AS scored, count(*) FILTER (had) AS skipped, count(*) FILTER (NOT had AND NOT ok) AS failed FROM f GROUP BY provider, model""")
 def model_coverage(spark, sf_dir):
     frozen, models = articles_v(spark, sf_dir), models_v(spark)
-    attempts = frozen.select("article_id").join(F.broadcast(models)).where((F.col("article_id") + F.col("k")) % 3 == 0).select("article_id", "provider", "model", (F.col("article_id") % 4 != 0).alias("ok"))
+    attempts = frozen.select("article_id", each_model()).select("article_id", "m.*").where((F.col("article_id") + F.col("k")) % 3 == 0).select("article_id", "provider", "model", (F.col("article_id") % 4 != 0).alias("ok"))
     return quality.model_coverage(frozen, models.drop("k"), scores_v(spark, sf_dir), attempts)
 
 
@@ -627,7 +627,7 @@ _MEMO = f"""
 st AS (SELECT source, string_agg({_block('rank')}, chr(10) ORDER BY rank) AS part FROM m WHERE rank <= 3 GROUP BY source),
 gr AS (SELECT source, string_agg({_block('k')}, chr(10) ORDER BY k) AS part FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank) AS k FROM m WHERE shown_category IN ('c1', 'c2', 'c3')) WHERE k <= 2 GROUP BY source),
 ci AS (SELECT source, string_agg('- [' || title || '](' || url || ') — ' || label || ', ' || shown, chr(10) ORDER BY rank) AS part FROM m WHERE rank <= 4 GROUP BY source)
-SELECT s.source, array_to_string(['# Demo Memo' || chr(10), '**Generated:** 2024-02-10 08:00 HK time', '**Scoring LLM:** p0 / m0', '**Analysis LLM:** a0 / b0', '**Profile:** demo', '**Sources:** all' || chr(10),
+SELECT s.source, array_to_string(['# Demo Memo' || chr(10), '**Generated:** 2024-02-10 08:00 HK time', '**Scoring LLM:** p0 / m0', '**Analysis LLM:** a0 / b0', '**Profile:** demo', '**Summary style:** base', '**Sources:** all' || chr(10),
   '## Market Read' || chr(10), 'No narrative is available for this report.', '', '## Top Stories' || chr(10), coalesce(st.part, '_No items in this section._' || chr(10)), '## Grouped' || chr(10), coalesce(gr.part, '_No items in this section._' || chr(10)),
   '## Watchlist' || chr(10), '- Next release', '', '## Source Citations' || chr(10), ci.part, '', '---'], chr(10)) AS body
 FROM (SELECT DISTINCT source FROM m) s LEFT JOIN st USING (source) LEFT JOIN gr USING (source) LEFT JOIN ci USING (source)"""

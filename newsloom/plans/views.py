@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import content_hash
@@ -58,10 +58,15 @@ def models_v(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(MODELS, "provider string, model string, k int")
 
 
+def each_model() -> Column:
+    """One row for each model, as a column that explodes."""
+    return F.explode(F.array(*(F.struct(F.lit(p).alias("provider"), F.lit(m).alias("model"), F.lit(k).alias("k")) for p, m, k in MODELS))).alias("m")
+
+
 def scores_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents").select("doc_id", "n_chars", "text", "source")
     labels = read_table(spark, sf_dir, "labels")
-    x = d.join(F.broadcast(models_v(spark))).where((F.col("doc_id") + F.col("k")) % 3 != 0).join(labels, "doc_id", "left")
+    x = d.select("*", each_model()).select("doc_id", "n_chars", "text", "source", "m.*").where((F.col("doc_id") + F.col("k")) % 3 != 0).join(labels, "doc_id", "left")
     return x.select(
         F.col("doc_id").alias("article_id"), "provider", "model", ((F.col("doc_id") * 31 + 17 * F.col("k") + F.col("n_chars")) % 101).cast("int").alias("relevance_score"),
         F.concat(F.lit("c"), (F.col("doc_id") % 9).cast("string")).alias("category"), F.concat(F.lit("s"), (F.col("doc_id") % 4).cast("string")).alias("signal"),
