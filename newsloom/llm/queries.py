@@ -96,4 +96,17 @@ SELECT page_id, host, path, f.rule, coalesce(v, CASE WHEN listed THEN 'block' EL
 FROM (SELECT *, len(list_intersect(string_split(host, '.'), ['spam-farm', 'free-bets', 'cheap-pills', 'casino-win', 'ads-track', 'adult-x'])) > 0 AS listed FROM p) p LEFT JOIN f ON f.k = p.k AND f.n = 1
 """
 
-ORACLE_SQL = {"op3_url_filter": _OP3, "op7_decontaminate": _OP7}
+#: Every window of 100 bytes, numbered among its equals; fine for small tables.
+_OP8 = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, p, b[p : p + 99] AS s FROM (SELECT doc_id, b, unnest(range(1, n - 98)) AS p FROM d WHERE n >= 100)),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM w) WHERE k > 1),
+g AS (SELECT doc_id, p, sum(CASE WHEN p <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT doc_id, p, coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -1000) AS before FROM r)),
+runs AS (SELECT doc_id, min(p) AS a, max(p) + 99 AS z FROM g GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS f, a - 1 AS t FROM runs UNION ALL SELECT doc_id, coalesce(max(z), 0) + 1, 1000000000 FROM d LEFT JOIN runs USING (doc_id) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(hex(b[f : least(t, n)]), '' ORDER BY f) AS h FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(h)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, CAST(sum(z - a + 1) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id) USING (doc_id)
+"""
+
+ORACLE_SQL = {"op3_url_filter": _OP3, "op7_decontaminate": _OP7, "op8_suffix_dedup": _OP8}
