@@ -25,6 +25,8 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 RADIUS, SHINGLE_WORDS, SEED = 3, 3, 42
 #: Fingerprints of a shard above which it is split on its other bits.
 SHARD_SIZE = 512
+#: Ids are below this.
+NAMELESS = 1 << 62
 
 
 def fingerprint(text: str | None, words_in: int = SHINGLE_WORDS) -> int:
@@ -172,17 +174,20 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     component_id is the least id that can be reached over links of at most ``radius`` differing bits.  Only ids and
     fingerprints are shuffled; the fingerprints are computed once and kept in the shared folder.
 
-    Null and empty texts have fingerprint zero and are linked like any other; null ids never count as the least id
+    Ids are whole numbers.  Null and empty texts have fingerprint zero and are linked like any other; null ids never count as the least id
     (a component of null ids alone has a null component_id); repeated rows stay; an empty table gives no rows.
     """
     ensure_checkpoints(docs.sparkSession)
     prints = fingerprints(docs, id_col, text_col).checkpoint()
-    joined = connected_components(links(prints, radius))  # nodes are fingerprints
-    least = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
-    grouped = least.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("cluster"))
-    # a cluster's least id; clusters of one fingerprint need no further grouping but take the same way
-    per_cluster = grouped.groupBy("cluster").agg(F.min("least").alias("component_id"))
-    of_print = grouped.join(per_cluster, "cluster").select("fp", "component_id")
+    # a fingerprint stands for its documents under the least of their ids, so a component's least node is the answer;
+    # one without any id stands under a number that is above all ids
+    nameless = F.col("fp").bitwiseAND(F.lit(NAMELESS - 1)).bitwiseOR(F.lit(NAMELESS))
+    nodes = prints.groupBy("fp").agg(F.coalesce(F.min(id_col).cast("long"), nameless).alias("own"))
+    named = lambda k: nodes.select(F.col("fp").alias(k), F.col("own").alias(f"{k}_node"))
+    joined = links(prints, radius).join(named("src"), "src").join(named("dst"), "dst")
+    least = connected_components(joined, "src_node", "dst_node")
+    found = F.coalesce("component", "own")
+    of_print = nodes.join(least, F.col("own") == F.col("node"), "left").select("fp", F.when(found < NAMELESS, found).alias("component_id"))
     return prints.join(of_print, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
