@@ -300,12 +300,13 @@ def test_html(spark):
         (1, "https://h/1", f"<html><head><title>T</title><script>x='</p>'</script></head><body>{frame}<div class='ad'>Buy</div><article><h1>Big &amp; bold</h1><p>a <b>b</b><br>c<p>d\n e<div class='user-comments'><p>no</p></div><aside>no</aside><form>no</form></article><footer>f</footer>"),
         (1, "https://h/1", "<main><ul><li>1<li>2</ul><table><tr><td>x<td>y</table></main>"), (2, None, None), (3, "https://h/3", ""), (None, "https://h/4", "plain &lt;text&gt;"), (5, "https://h/5", "<p hidden>x</p><div role='navigation'>y</div><style>p{}</style>"),
     ]
+    pages.append((6, "https://h/6", "<div class='side-bar'>s</div><article class='post has-ads'><div class='post-header'><h2>T</h2></div><p>x<article class='comment'><p>no</p></article></article><article class='comment'>no</article><section id='comments-1'>no</section>"))
     # pages without an article: lines that a host's pages share go, other lines stay
     shared = "One two three four five six seven eight nine ten"
     pages += [(10 + k, f"https://s/{k}", f"<body><div class='top'>{shared}</div><div>own{k} words{k} of{k} page{k} here{k}</div><p>{shared} again") for k in range(4)]
     df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, text string")
     got = collections.Counter((r["page_id"], r["text"], r["n_chars"]) for r in html_extract.extract_text(df).collect())
-    want = ["Big & bold\na b c\nd e", "1\n2\nx\ny", "", "", "plain <text>", ""] + [f"own{k} words{k} of{k} page{k} here{k}" for k in range(4)]
+    want = ["Big & bold\na b c\nd e", "1\n2\nx\ny", "", "", "plain <text>", "", "T\nx"] + [f"own{k} words{k} of{k} page{k} here{k}" for k in range(4)]
     assert got == collections.Counter((p[0], w, len(w)) for p, w in zip(pages, want, strict=True))
     assert html_extract.extract_text(df.limit(0)).count() == 0
 
