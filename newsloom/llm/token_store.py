@@ -29,8 +29,7 @@ from pyspark.sql import functions as F
 from newsloom.tables import fresh_dir
 
 MAGIC = b"PLNIDS01"
-#: Ids in a chunk, ids in a file at most (a task goes on in the next file) and the pieces that a generation of a worker's memo keeps
-#: (there are two).
+#: Ids in a chunk, ids in a file at most (a task goes on in the next file) and the pieces that a worker's memo keeps.
 CHUNK_IDS, FILE_IDS, MEMO_SIZE, MEMO_CHARS = 1 << 16, 1 << 24, 500_000, 48
 
 
@@ -127,9 +126,7 @@ class TextEncoder:
             and {n["type"] for n in (parts["normalizer"] or {}).get("normalizers", [])} <= known
             and not any(" " in t["content"] or "\n" in t["content"] for t in parts["added_tokens"])
         )
-        self.lowers = "Lowercase" in str(parts["normalizer"]) and all(t["content"].startswith("<|") for t in parts["added_tokens"])
         self.memo: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -137,18 +134,12 @@ class TextEncoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self._encode(texts)
-        if len(self.memo) > MEMO_SIZE:  # what is still in use moves to the new generation
-            self.memo, self.older = {"": b""}, self.memo
-        memo, older = self.memo, self.older
-        if self.lowers:  # capitals of plain texts are lowered anyway; one form of a piece is enough
-            texts = [t.lower() if t.isascii() and "<|" not in t else t for t in texts]
+        if len(self.memo) > MEMO_SIZE:
+            self.memo = {"": b""}
+        memo = self.memo
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new, long = [], {}
-        for w in {w for words in split for w in words if w not in memo}:
-            if w in older:
-                memo[w] = older[w]
-            else:
-                new.append(w)
+        new = list({w for words in split for w in words if w not in memo})
+        long = {}
         for w, ids in zip(new, self._encode(new), strict=True):
             (memo if len(w) <= MEMO_CHARS else long)[w] = ids
         if long:
