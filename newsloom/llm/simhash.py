@@ -47,8 +47,9 @@ def fingerprint(text: str | None, words_in: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) for each row; fp is the fingerprint as a signed 64-bit integer, zero for a text without words or null."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """(id, fp, and the columns ``more``) for each row; fp is the fingerprint as a signed 64-bit integer, zero for a text without words or null."""
+    types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in more)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,9 +57,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 found = np.array([fingerprint(t) for t in part.column(1).to_pylist()], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64))], names=[id_col, "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64)), *part.columns[2:]], names=[id_col, "fp", *more])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, fp long")
+    return docs.select(id_col, text_col, *more).mapInArrow(run, f"`{id_col}` {id_type}, fp long{types and ', '}{types}")
 
 
 class BKTree:
@@ -177,30 +178,38 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     Ids are whole numbers.  Null and empty texts have fingerprint zero and are linked like any other; null ids never count as the least id
     (a component of null ids alone has a null component_id); repeated rows stay; an empty table gives no rows.
     """
+    found = _grouped(docs, radius, id_col, text_col)
+    return found.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _grouped(docs: DataFrame, radius: int, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """(id, fp, the columns ``more``, component_id, group); group is the component's least node and never null."""
     ensure_checkpoints(docs.sparkSession)
-    prints = fingerprints(docs, id_col, text_col).checkpoint()
+    prints = fingerprints(docs, id_col, text_col, *more).checkpoint()
     # a fingerprint stands for its documents under the least of their ids, so a component's least node is the answer;
-    # one without any id stands under a number that is above all ids
-    nameless = F.col("fp").bitwiseAND(F.lit(NAMELESS - 1)).bitwiseOR(F.lit(NAMELESS))
-    nodes = prints.groupBy("fp").agg(F.coalesce(F.min(id_col).cast("long"), nameless).alias("own"))
+    # one without any id stands under a number that is above all ids.  The fingerprint is part of the node, since
+    # unrelated texts can have one id
+    nodes = prints.groupBy("fp").agg(F.coalesce(F.min(id_col).cast("long"), F.lit(NAMELESS)).alias("own")).select("fp", F.struct("own", "fp").alias("own"))
     named = lambda k: nodes.select(F.col("fp").alias(k), F.col("own").alias(f"{k}_node"))
     joined = links(prints, radius).join(named("src"), "src").join(named("dst"), "dst")
     least = connected_components(joined, "src_node", "dst_node")
-    found = F.coalesce("component", "own")
-    of_print = nodes.join(least, F.col("own") == F.col("node"), "left").select("fp", F.when(found < NAMELESS, found).alias("component_id"))
-    return prints.join(of_print, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of_print = nodes.join(least, F.col("own") == F.col("node"), "left").select("fp", F.coalesce("component", "own").alias("group"))
+    component_id = F.when(F.col("group.own") < NAMELESS, F.col("group.own")).alias("component_id")
+    return prints.join(of_print, "fp").select(id_col, "fp", *more, component_id, "group")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, with one document for each near-duplicate group: that of the least id.
 
-    Of repeated rows with that id one stays (the first by text).  Rows whose id is null stay only where their whole
-    group has no id.
+    Of the group's rows with that id one stays (the first by text).  Rows whose id is null stay only where their whole
+    group has no id, one for each such group; unrelated texts under one id are groups of their own.
     """
     from pyspark.sql import Window
 
-    found = near_duplicates(docs, radius, id_col, text_col)
-    heads = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_head")).distinct()
-    kept = docs.join(heads, F.col(id_col).eqNullSafe(F.col("_head")), "left_semi")
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    return kept.withColumn("_copy", rank).where("_copy = 1").drop("_copy")
+    # rows with one key have one id and one text (null and empty are linked anyway), and so one group
+    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text_col), F.lit(""))))
+    keyed = docs.withColumn("_key", key)
+    found = _grouped(keyed, radius, id_col, text_col, "_key")
+    heads = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select("_key", F.col("group").alias("_group")).distinct()
+    rank = F.row_number().over(Window.partitionBy("_group").orderBy(text_col))
+    return keyed.join(heads, "_key").withColumn("_copy", rank).where("_copy = 1").select(*(keyed[c] for c in docs.columns))

@@ -120,6 +120,20 @@ def test_simhash_components(spark, docs, odd):
     assert simhash.keep_one(odd).columns == odd.columns
 
 
+def test_keep_one_of_rows_without_ids(spark):
+    """Each group keeps its first row by (id, nulls last, text): unrelated texts without ids or under one id all stay."""
+    texts = [prose(200, 500 + k) for k in range(5)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (7, texts[2]), (8, texts[3]), (8, texts[4]), (2, texts[4]), (8, texts[3]), (None, None), (None, "")]
+    prints = {t: plain.fingerprint(t) for t in texts}
+    assert all((prints[a] ^ prints[b]).bit_count() > 3 for a, b in combinations(texts, 2))
+    table = spark.createDataFrame([(d, t, "clash") for d, t in rows], "doc_id long, text string, key string")
+    got = collections.Counter((r["doc_id"], r["text"]) for r in simhash.keep_one(table.repartition(3)).collect())
+    assert got == collections.Counter([(None, texts[0]), (None, texts[1]), (7, texts[2]), (8, texts[3]), (2, texts[4]), (None, None)])
+    assert simhash.keep_one(table).columns == table.columns
+    found = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash.near_duplicates(table).collect()}
+    assert found[(8, f"{prints[texts[3]]:016x}")] == 8 and found[(8, f"{prints[texts[4]]:016x}")] == 2
+
+
 @pytest.mark.parametrize("shard", [2, 512])
 def test_links_lose_none(spark, shard):
     """Clusters around centres with shared blocks; small shards force the second split."""
