@@ -1,7 +1,7 @@
 """PII: format-preserving Feistel pseudonyms, in DataFrame and SQL functions only.
 
-Numbers that pass their format's check (card numbers by Luhn, phone numbers by the numbering plan, IPv4 addresses by
-their octets, social security numbers by their ranges) and dates that exist are replaced by a keyed permutation of the
+Numbers that pass their format's check (card numbers by Luhn, phone numbers by their grouping, IPv4 addresses by their
+octets, social security numbers by their ranges) and dates that exist are replaced by a keyed permutation of the
 format's own values, so that a pseudonym is valid again, equal values get equal pseudonyms in every document, and no
 two values share one.  Mail addresses (their local part) and credentials are permuted letter by letter within their
 alphabets in the same way.
@@ -22,7 +22,7 @@ ROUNDS, DEFAULT_KEY = 6, "newsloom"
 # The formats' patterns.  Java syntax; each alternative is one kind.
 MAIL = r"[A-Za-z0-9._%+-]*[A-Za-z0-9]@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}"
 CARD = r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d-]|\.\d)"
-PHONE = r"(?<![\w+])(?:\+1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[.-])[2-9]\d{2}[ .-]\d{4}(?![\d-])"
+PHONE = r"(?<![\w+])(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?![\d-])"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 IP = r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)"
 DATE = r"(?<![\w./-])(?:(?:19|20)\d{2}[-/]\d{2}[-/]\d{2}|\d{2}\.\d{2}\.(?:19|20)\d{2})(?![\w/-]|\.\d)"
@@ -30,7 +30,7 @@ ACCESS_KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
 SECRET = r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b)[\"']?\s*[:=]\s*[\"']?[A-Za-z0-9+/_-]{8,}"
 PATTERN = "|".join((MAIL, ACCESS_KEY, SECRET, PHONE, SSN, DATE, IP, CARD))
 #: Every match has one of these, so texts without any are passed over cheaply.
-HINT = r"@|\d{2}|(?i:password|passwd|pwd|token|secret|key)"
+HINT = r"@|\d[ .-]?\d|AKIA|ASIA|(?i:password|passwd|pwd|token|secret|key)"
 
 
 def _quote(pattern: str) -> str:
@@ -94,12 +94,17 @@ def _card(key: str, x: str) -> str:
 
 
 def _phone(key: str, x: str) -> str:
-    # the last ten digits: area code and exchange begin with 2 to 9
+    # the last ten digits; area codes and exchanges that begin with 2 to 9 (the numbering plan) stay so, and the numbers
+    # outside the plan, by area code or by exchange alone, are permuted among themselves
     d = f"right(regexp_replace({x}, '[^0-9]', ''), 10)"
     lead = f"left(regexp_replace({x}, '[^0-9]', ''), length(regexp_replace({x}, '[^0-9]', '')) - 10)"
-    a, b = f"(substr({d}, 1, 3) - 200)", f"((substr({d}, 4, 3) - 200) * 10000 + substr({d}, 7, 4))"
-    out = f"concat({lead}, cast(200 + p.a AS string), cast(200 + p.b DIV 10000 AS string), lpad(cast(p.b % 10000 AS string), 4, '0'))"
-    return f"transform(array({feistel(key, 'phone', a, b, 800, 8_000_000, out)}), v -> {_refill(x, 'v')})[0]"
+
+    def of(kind: str, area: int, areas: int, exchange: int, exchanges: int) -> str:
+        a, b = f"(substr({d}, 1, 3) - {area})", f"((substr({d}, 4, 3) - {exchange}) * 10000 + substr({d}, 7, 4))"
+        out = f"concat({lead}, lpad(cast({area} + p.a AS string), 3, '0'), lpad(cast({exchange} + p.b DIV 10000 AS string), 3, '0'), lpad(cast(p.b % 10000 AS string), 4, '0'))"
+        return f"transform(array({feistel(key, kind, a, b, areas, exchanges * 10_000, out)}), v -> {_refill(x, 'v')})[0]"
+
+    return f"CASE WHEN substr({d}, 1, 1) < '2' THEN {of('phone-area', 0, 200, 0, 1000)} WHEN substr({d}, 4, 1) < '2' THEN {of('phone-exchange', 200, 800, 0, 200)} ELSE {of('phone', 200, 800, 200, 800)} END"
 
 
 def _ssn(key: str, x: str) -> str:
