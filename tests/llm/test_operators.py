@@ -350,6 +350,15 @@ def test_html(spark):
     assert html_extract.extract_text(df.limit(0)).count() == 0
 
 
+def test_html_counts_pages_not_rows(spark):
+    """A page without an article keeps its text though the table holds it three times, as it is or fetched anew."""
+    own = "one two three four five six seven eight nine ten"
+    rows = [(1, "https://r/1", f"<div>{own}</div>")] * 3 + [(2, "https://c/2", f"<div>{own}</div><p>version{k}") for k in range(3)] + [(3 + k, f"https://d/{k}", f"<div>{own}</div><p>left{k}") for k in range(3)] + [(None, None, f"<div>{own}</div>")] * 3
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = collections.Counter((r["page_id"], r["text"]) for r in html_extract.extract_text(df.repartition(3)).collect())
+    assert got == collections.Counter([(1, own)] * 3 + [(2, f"{own}\nversion{k}") for k in range(3)] + [(3 + k, f"left{k}") for k in range(3)] + [(None, own)] * 3)
+
+
 def test_shard_runs_count_pages():
     r = random.Random(4)
     streams = [[r.choice("abc") for _ in range(r.randint(0, 40))] for _ in range(12)]
