@@ -68,7 +68,7 @@ def test_token_store_round_trip(spark, docs, odd):
             assert r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
             start += len(ids)
     folder, shards = token_store.write_ids(docs.limit(0), path)
-    assert shards == [] and token_store.read_ids(spark, folder, shards).count() == 0
+    assert shards.isEmpty() and token_store.read_ids(spark, folder, shards).count() == 0
 
 
 @pytest.mark.parametrize("kind", ["byte", "bit"])
@@ -366,3 +366,23 @@ def test_shard_runs_count_pages():
     for s in streams:
         want.update({tuple(s[k : k + 8]) for k in range(max(len(s) - 7, 1))} if s else ())
     assert html_extract.shard_runs(streams) == {html_extract.run_hash(list(k)): n for k, n in want.items()}
+
+
+def test_encoder_equals_library(monkeypatch):
+    """Odd letters, marks, contractions and special strings; long texts are encoded in parts."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    lib, own = Tokenizer.from_file(path), token_store.TextEncoder(path)
+    assert own.by_run and not token_store.TextEncoder(vocabulary("byte_bpe_50k.json")).by_piece
+    r = random.Random(4)
+    for k in range(600):
+        signs = ["ab", "Ab", "é", ")", "-", "<|endoftext|>", " ", "\n", "\t", "'s", "K", "日本", "İ", "1"] if k % 2 else [*"abcEé,.!-  \n", "'s", "́", "ß", "'"]
+        texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 40))) for _ in range(3)] + [None]
+        ids, counts = own(pa.array(texts))
+        want = [e.ids for e in lib.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == list(map(len, want)), texts
+    parts = token_store.pieces_of(LONG, 1000)
+    assert " ".join(parts) == LONG and max(map(len, parts)) <= 1000 and token_store.pieces_of("x" * 50, 10) == ["x" * 50]
+    assert list(token_store.runs_of(pa.array(["aaa", None, "bb", "cccccc", "d"]), 5)) == [(0, 3), (3, 4), (4, 5)]
