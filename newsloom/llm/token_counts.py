@@ -4,12 +4,17 @@ A batch of pre-tokens is one flat array of symbol ids plus the pre-token that ea
 each pre-token finds its pair of the best rank and merges all occurrences of that pair at once; rounds go on until no
 pre-token has a pair left.  The count is the number of surviving symbols.  Pre-tokens repeat, so a bounded memo keeps
 the counts of short ones for the life of a Python worker.
+
+No merge joins two characters that stand next to each other in no piece, so sequences are cut there first.  A sequence
+that is still long (text without blanks) would need as many rounds over all its symbols as it has different merges; it
+takes its merges in the same order from a queue instead, where only the pairs next to a merge are looked at again.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +23,9 @@ from pyspark.sql import DataFrame
 SPACE = "▁"
 #: Pre-tokens kept by each of two generations of a worker's memo, and the longest one that is kept (characters).
 MEMO_SIZE, MEMO_CHARS = 500_000, 48
-#: Symbols merged at once.
-BATCH_SYMBOLS = 2_000_000
-NO_RANK = np.int64(1 << 40)
+#: Symbols merged at once, symbols of a sequence from which on its pairs are queued, and distinct characters up to which
+#: their neighbours are looked up in a square table.
+BATCH_SYMBOLS, LONG_SEQUENCE, SQUARE = 2_000_000, 512, 1024
 
 
 class ArrayMerger:
@@ -59,6 +64,8 @@ class ArrayMerger:
         if "\n" in inside:
             raise ValueError("pieces of this vocabulary cross line ends")
         self.apart = {c: c not in inside for c in self.char}
+        self.beside = np.unique(np.array([(ord(a) << 21) + ord(b) for p in piece if len(p) > 1 for a, b in zip(p, p[1:], strict=False)], dtype=np.int64))
+        self.queued: dict[int, tuple[int, int]] = {}
         self.memo: dict[str, int] = {}
         self.older: dict[str, int] = {}
 
@@ -91,13 +98,21 @@ class ArrayMerger:
             alone[k] = self.apart.get(c, True)
         word = np.repeat(np.arange(len(words)), lengths)
         out = np.bincount(word, weights=weight[where], minlength=len(words)).astype(np.int64)
-        # sequences end at words' ends and on both sides of characters that never merge
+        # sequences end at words' ends, on both sides of characters that never merge, and between two that no piece joins
         cut = alone[where]
         new = np.ones(len(codes), dtype=bool)
-        new[1:] = (word[1:] != word[:-1]) | cut[1:] | cut[:-1]
+        new[1:] = (word[1:] != word[:-1]) | cut[1:] | cut[:-1] | ~self._joined(distinct, where)
         seq, sym = np.cumsum(new) - 1, sym[where]
         live = ~cut
         seq, sym, word = seq[live], sym[live], word[live]
+        size = np.bincount(seq)
+        if len(size) and size.max() > LONG_SEQUENCE:
+            long = size[seq] > LONG_SEQUENCE
+            at = np.flatnonzero(long)
+            first = np.flatnonzero(np.r_[True, seq[at][1:] != seq[at][:-1]])
+            for a, b in zip(first, np.r_[first[1:], len(at)], strict=True):
+                out[word[at[a]]] -= self._queued_merges(sym[at[a:b]].tolist())
+            seq, sym, word = seq[~long], sym[~long], word[~long]
         while len(sym) > 1:
             pair = np.flatnonzero((seq[1:] == seq[:-1]) & (sym[1:] >= 0) & (sym[:-1] >= 0))
             key = sym[pair] * self.base + sym[pair + 1]
@@ -134,6 +149,48 @@ class ArrayMerger:
             sym, seq, word = sym[stays], seq[stays], word[stays]
         return out
 
+    def _joined(self, distinct: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """Whether each character and the next one stand next to each other in some piece."""
+        codes = distinct.astype(np.int64)
+        known = lambda key: self.beside[np.minimum(np.searchsorted(self.beside, key), len(self.beside) - 1)] == key
+        if len(codes) <= SQUARE:
+            return known((codes[:, None] << 21) + codes[None, :])[where[:-1], where[1:]]
+        return known((codes[where[:-1]] << 21) + codes[where[1:]])
+
+    def _queued_merges(self, sym: list[int]) -> int:
+        """The number of merges of one sequence, best rank and then leftmost first."""
+        if not self.queued:
+            self.queued = {k: (r, m) for k, r, m in zip(self.keys.tolist(), self.ranks.tolist(), self.merged.tolist(), strict=True)}
+        pairs, base = self.queued, self.base
+        after, before = list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1))
+        end = len(sym)
+
+        def offer(k: int) -> tuple | None:
+            right = after[k]
+            if right == end or sym[k] < 0 or sym[right] < 0:
+                return None
+            key = sym[k] * base + sym[right]
+            found = pairs.get(key)
+            return (found[0], k, key, found[1]) if found else None
+
+        queue = [x for x in map(offer, range(len(sym))) if x]
+        heapify(queue)
+        merges = 0
+        while queue:
+            _, k, key, joined = heappop(queue)
+            right = after[k]
+            if sym[k] < 0 or right == end or sym[k] * base + sym[right] != key:
+                continue  # one of the two has merged with another symbol since
+            sym[k], sym[right] = joined, -1
+            after[k] = after[right]
+            if after[k] < end:
+                before[after[k]] = k
+            merges += 1
+            for x in (offer(k), offer(before[k]) if before[k] >= 0 else None):
+                if x:
+                    heappush(queue, x)
+        return merges
+
     def text_counts(self, texts: list[str]) -> list[int]:
         """The number of tokens of each whole text."""
         if len(self.memo) > MEMO_SIZE:  # what is still in use moves to the new generation
