@@ -386,3 +386,28 @@ def test_encoder_equals_library(monkeypatch):
     parts = token_store.pieces_of(LONG, 1000)
     assert " ".join(parts) == LONG and max(map(len, parts)) <= 1000 and token_store.pieces_of("x" * 50, 10) == ["x" * 50]
     assert list(token_store.runs_of(pa.array(["aaa", None, "bb", "cccccc", "d"]), 5)) == [(0, 3), (3, 4), (4, 5)]
+
+
+def test_counts_of_texts_without_blanks(monkeypatch):
+    """Long sequences are merged in linear time and in the library's order."""
+    import time
+
+    import sentencepiece
+
+    path = vocabulary("piece_bpe_32k.model")
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=path), token_counts.merger(path)
+    r = random.Random(6)
+    syllables = ["the", "ing", "at", "e", "r", "tion", "s", "h", "o", "qu", "ment", "a"]
+    million = "".join(r.choice(syllables) for _ in range(500_000))[:1_000_000]
+    texts = [million, "a" * 50_000, "".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(50_000)), "".join(r.choice("ABCXYZabcxyz0123+/") for _ in range(100_000))]
+    began = time.time()
+    assert own.text_counts(texts) == [len(x) for x in lib.encode(texts)]
+    assert time.time() - began < 20
+    short = ["".join(r.choice("abehit s\n1é▁ nrgo") for _ in range(r.randint(1, 120))) for _ in range(400)]
+    for limit in (4, 512):
+        monkeypatch.setattr(token_counts, "LONG_SEQUENCE", limit)
+        own.memo, own.older = {}, {}
+        assert own.text_counts(short) == [len(x) for x in lib.encode(short)]
+    monkeypatch.setattr(token_counts, "SQUARE", 1)
+    own.memo, own.older = {}, {}
+    assert own.text_counts(short) == [len(x) for x in lib.encode(short)]
