@@ -1,8 +1,8 @@
 """Quality rules: statistics of whole texts, fixed base rules, and an isolation forest over the statistics.
 
 The forest (Liu et al., 2008) is fitted on the statistics of a bounded sample of the labelled rows that are marked
-good; its score is high where random splits set a document apart early.  The threshold comes from the labelled sample:
-the score that tells bad rows from good ones best, among those that reject at most MAX_GOOD_LOSS of the good ones.
+good; its score is high where random splits set a document apart early.  The threshold comes from labelled rows that
+the forest has not seen: the least score that at most MAX_GOOD_LOSS of their good ones pass.
 """
 
 from __future__ import annotations
@@ -157,8 +157,10 @@ def calibrate(good: np.ndarray, bad: np.ndarray, max_good_loss: float = MAX_GOOD
 def fit_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Forest | None:
     """Fit the forest and its threshold on at most ``sample_rows`` labelled rows, drawn by a hash of their ids.
 
-    Only the sample's statistics reach the driver.  Labels with a null id or quality are left out; an id labelled
-    twice with different values counts as bad.  None if there is no good labelled row.
+    The forest grows on one half of the sample and the threshold is taken from the other; only where a half has no good
+    row do both use all of them.  Only the sample's statistics reach the driver.  Labels with a null id or quality are
+    left out; an id labelled twice with different values counts as bad; of documents that share an id the first rows
+    count, up to the bound.  None if there is no good labelled row.
     """
     chosen = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(id_col).agg(F.min("quality").alias("_quality"))
     chosen = chosen.orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
@@ -170,21 +172,32 @@ def fit_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS
             found = [(q, f) for q, counts, f in found if not base_failed(counts)]
             yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in found], pa.int64()), pa.array([f for _, f in found], pa.list_(pa.float64()))], names=["q", "f"])
 
-    rows = texts.select("_text", F.col("_quality").cast("long")).mapInArrow(stats, "q long, f array<double>").toArrow()
-    quality = np.array(rows.column("q").to_pylist())
+    # the bound holds for rows, too: repeated ids cannot pass it; the order makes the choice the same in every run
+    rows = texts.select("_text", F.col("_quality").cast("long")).mapInArrow(stats, "q long, f array<double>").orderBy(F.xxhash64("q", "f"), "q", "f").limit(sample_rows).toArrow()
+    good = np.array(rows.column("q").to_pylist()) > 0
     x = np.array(rows.column("f").to_pylist(), dtype=float).reshape(-1, len(FEATURES))
-    order = np.lexsort((*x.T, quality)) if len(x) else np.arange(0)  # the fit must not depend on the order of tasks
-    x, quality = x[order], quality[order]
-    if not (quality > 0).any():
+    if not good.any():
         return None
-    forest = fit_forest(x[quality > 0])
+    fit, held = halves(good)
+    forest = fit_forest(x[fit & good])
     scores = forest.scores(x)
-    forest.threshold = calibrate(scores[quality > 0], scores[quality <= 0])
+    forest.threshold = calibrate(scores[held & good], scores[held & ~good])
     return forest
 
 
+def halves(good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Masks of the rows to fit on and of those to calibrate on: every second row of each class in the given order, or
+    all rows for both if there are too few good ones."""
+    second = np.zeros(len(good), dtype=bool)
+    for own in (good, ~good):
+        second[np.flatnonzero(own)[1::2]] = True
+    if not (second & good).any():
+        return np.ones(len(good), dtype=bool), np.ones(len(good), dtype=bool)
+    return ~second, second
+
+
 def judge(docs: DataFrame, forest: Forest | None, id_col: str = "doc_id", text_col: str = "text", rows_at_once: int = 512) -> DataFrame:
-    """One row for each row of ``docs``: id, the counts, base_failed, anomaly (the forest's score), kept.
+    """One row for each row of ``docs``: id, the counts, base_failed, kept, anomaly (the forest's score).
 
     A narrow stage: no shuffle.  kept is false where the base rules fail, else true up to the forest's threshold.
     Null or empty text has no words and fails the base; ids may be null or repeat (row for row); an empty table gives
@@ -197,15 +210,19 @@ def judge(docs: DataFrame, forest: Forest | None, id_col: str = "doc_id", text_c
             for at in range(0, batch.num_rows, rows_at_once):
                 part = batch.slice(at, rows_at_once)
                 counts, failed, scores, kept = _verdicts(part.column(1).to_pylist(), forest)
-                columns = [part.column(0), *(pa.array(c, pa.int64()) for c in zip(*counts, strict=True)), pa.array(failed), pa.array(scores), pa.array(kept)]
-                yield pa.RecordBatch.from_arrays(columns, names=[id_col, *COUNTS, "base_failed", "anomaly", "kept"])
+                columns = [part.column(0), *(pa.array(c, pa.int64()) for c in zip(*counts, strict=True)), pa.array(failed), pa.array(kept, pa.bool_()), pa.array(scores, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[id_col, *COUNTS, "base_failed", "kept", "anomaly"])
 
-    schema = f"`{id_col}` {id_type}, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, anomaly double, kept boolean"
+    schema = f"`{id_col}` {id_type}, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, anomaly double"
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, forest: Forest | None, text_col: str = "text", rows_at_once: int = 512) -> DataFrame:
-    """The rows of ``docs``, all columns, that the rules keep."""
+    """The rows of ``docs``, all columns, that the rules keep.
+
+    Null and empty texts fail the base and go; repeated rows and null ids are judged row for row; an empty table gives
+    no rows; other columns pass through under any name.
+    """
     at_col = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
