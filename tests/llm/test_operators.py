@@ -411,3 +411,70 @@ def test_counts_of_texts_without_blanks(monkeypatch):
     monkeypatch.setattr(token_counts, "SQUARE", 1)
     own.memo, own.older = {}, {}
     assert own.text_counts(short) == [len(x) for x in lib.encode(short)]
+
+
+def test_longest_match_equals_brute_force():
+    r = random.Random(12)
+    items = [(f"i{k}", " ".join(r.choice("abc") for _ in range(r.randint(5, 60)))) for k in range(12)] + [("", None), (None, "a b a b a b a b a b a b a b a c")]
+    items += [("again", items[0][1]), ("part", " ".join(items[1][1].split()[3:40]))]
+    texts = [" ".join(r.choice("abcd" if r.random() < 0.03 else "abc") for _ in range(r.randint(0, 80))) for _ in range(60)] + [i[1] for i in items[:4]] + [f"d {items[2][1]} d {items[3][1]}"]
+    halves = [decontaminate.TestSuffixes.of(items[:7]), decontaminate.TestSuffixes.of(items[7:])]
+    names = collections.defaultdict(list)
+    for name, t in items:
+        if t:
+            names[tuple(t.split())].append(name or "")
+    for tests in ([decontaminate.TestSuffixes.of(items)], halves):
+        for text, got in zip(texts, decontaminate.judge_texts(texts, tests), strict=True):
+            w = text.split()
+            found = []
+            for at in range(len(w)):
+                for own, named in names.items():
+                    for k in range(len(own)):
+                        n = 0
+                        while at + n < len(w) and k + n < len(own) and w[at + n] == own[k + n]:
+                            n += 1
+                        if n >= min(13, len(own)):
+                            found.append((-n, at, min(named)))
+            want = min(found, default=(0, None, None))
+            assert (got["longest_words"], got["longest_start"], got["longest_item"]) == (-want[0], *want[1:]), text
+    assert decontaminate.suffix_order(np.array([2, 1, 2, 1, 0, 2, 1], np.uint32)).tolist() == sorted(range(7), key=lambda k: [2, 1, 2, 1, 0, 2, 1][k:])
+
+
+def test_one_block_is_alive():
+    """Of several broadcast blocks each is dropped before the next one is loaded."""
+    class Kept:
+        loads = 0
+
+        @property
+        def value(self):
+            if not hasattr(self, "_value"):
+                Kept.loads += 1
+                self._value = self
+            return self._value
+
+    several = [Kept(), Kept()]
+    for k, t in enumerate(decontaminate.alive(several)):
+        assert sum(hasattr(x, "_value") for x in several) == 1 and t is several[k]
+    assert Kept.loads == 2 and not hasattr(several[0], "_value")
+    one = [Kept()]
+    assert next(iter(decontaminate.alive(one))) is one[0] and list(decontaminate.alive(one)) == one and Kept.loads == 3
+
+
+def test_columns_come_in_the_stated_order(docs):
+    assert quality.judge(docs, None).columns[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    good = np.array([True, True, False, True, False])
+    fit, held = quality.halves(good)
+    assert not (fit & held).any() and (fit | held).all() and (held & good).any() and (fit & good).any()
+    fit, held = quality.halves(np.array([True, False]))
+    assert fit.all() and held.all()
+
+
+def test_bad_held_out_rows_are_found(spark):
+    """Recall on all bad labelled rows beyond the base rules, none of which the fit has seen, at the same small loss."""
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    forest = quality.fit_rules(d, labels.where("doc_id % 2 = 0"))
+    rows = quality.judge(d, forest).join(labels.where("doc_id % 2 = 1"), "doc_id").where("NOT base_failed").collect()
+    bad = [not r["kept"] for r in rows if r["quality"] == 0]
+    good = [r["kept"] for r in rows if r["quality"] == 1]
+    print(len(bad), sum(bad), len(good), sum(good))
+    assert sum(bad) / len(bad) >= 0.9 and sum(good) / len(good) >= 0.98
