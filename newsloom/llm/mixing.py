@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.llm.names import unused
 from newsloom.tables import ensure_checkpoints
 
 #: Weights that repeat over the sources in order; all targets together and each one's most, as parts of the sizes.
@@ -133,9 +134,14 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, all columns, each repeated as often as it is taken."""
+    """The mix itself: the rows of ``docs``, all columns, each repeated as often as it is taken.
+
+    Null texts are never taken; null sources, null and repeated ids and empty tables are as in ``mix_plan``; other
+    columns pass through under any name.
+    """
+    of_source, of_id, times = unused(docs, "_source", "_id", "_copies")
     sized = _sized(docs, id_col, source_col, text_col)
     copies = rounded_copies(sized, docs.schema[id_col].dataType.simpleString(), **options)
-    copies = copies.where("copies > 0").select(F.col("source").alias("_source"), F.col("id").alias("_id"), F.col("copies").alias("_copies"))
-    out = docs.join(copies, F.col(source_col).eqNullSafe(F.col("_source")) & F.col(id_col).eqNullSafe(F.col("_id")))
-    return out.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_source", "_id", "_copies")
+    copies = copies.where("copies > 0").select(F.col("source").alias(of_source), F.col("id").alias(of_id), F.col("copies").alias(times))
+    out = docs.join(copies, F.col(source_col).eqNullSafe(F.col(of_source)) & F.col(id_col).eqNullSafe(F.col(of_id)))
+    return out.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).drop(of_source, of_id, times)

@@ -2,8 +2,8 @@
 
 Fingerprints that are equal collapse first.  Two fingerprints within radius r share at least one of r + 1 blocks of
 bits, so a shard holds the distinct fingerprints with one block value, and one BK-tree is built for each shard.  Trees
-travel to the queries of their shard through a shuffle, not by broadcast: together they grow with the corpus, and a
-shard is all that its queries can match.  A shard that would be large is split again on the blocks of its other bits,
+travel to the queries of their shard through a shuffle.  This replaces a broadcast of all shards' trees, which together
+are all fingerprints and grow with the corpus; a shard is all that its queries can match.  A shard that would be large is split again on the blocks of its other bits,
 which is just as exact, so a group of similar texts cannot fill one task.  Each shard reports links as a forest (each
 fingerprint to one earlier member of its cluster), so copies never expand into all pairs.
 """
@@ -18,13 +18,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.operators.components import connected_components
+from newsloom.llm.names import unused
+from newsloom.operators.components import connected_components, join_counted
 from newsloom.tables import ensure_checkpoints
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 RADIUS, SHINGLE_WORDS, SEED = 3, 3, 42
 #: Fingerprints of a shard above which it is split on its other bits.
 SHARD_SIZE = 512
+#: Rows of one fingerprint above which they are not shuffled by it.
+HOT_COPIES = 1000
 #: Ids are below this.
 NAMELESS = 1 << 62
 
@@ -130,43 +133,53 @@ def _block(fp: Column, width: int, k: int) -> Column:
     return F.shiftrightunsigned(fp, width * k).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def links(fps: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_SIZE) -> DataFrame:
-    """Links (src, dst) between distinct fingerprints of column fp that join all pairs within the radius."""
+def links(nodes: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_SIZE) -> DataFrame:
+    """Links (src, dst) between the nodes (own, fp) that join all pairs of fingerprints within the radius.
+
+    ``nodes`` has each fingerprint once, with a number ``own`` that goes with it through the shards; src and dst are
+    structs (own, fp), so no join by a fingerprint of many links is needed afterwards.
+    """
     blocks = radius + 1
     width = 64 // blocks
     if width * blocks != 64 or width % blocks:
         raise ValueError("the radius must be 1 or 3")
-    distinct = fps.where("fp is not null").select("fp").distinct()
-    keyed = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("block"), _block(F.col("fp"), width, k).alias("value")) for k in range(blocks)))).alias("key")).select("fp", "key.block", "key.value")
+    keyed = nodes.where("fp is not null").select("own", "fp", F.explode(F.array(*(F.struct(F.lit(k).alias("block"), _block(F.col("fp"), width, k).alias("value")) for k in range(blocks)))).alias("key")).select("own", "fp", "key.block", "key.value")
     sizes = keyed.groupBy("block", "value").count()
     lone = keyed.join(sizes.where("count > 1"), ["block", "value"])
     # the other bits of a large shard, moved together, split it on blocks of their own: exact for the same reason
     narrow = (64 - width) // blocks
     others = F.coalesce(*(F.when(F.col("block") == k, (F.shiftrightunsigned("fp", width * (k + 1)) if k < blocks - 1 else F.lit(0).cast("long")) * F.lit(1 << (width * k) if k < blocks - 1 else 1) + F.col("fp").bitwiseAND(F.lit((1 << (width * k)) - 1))) for k in range(blocks)))
-    small = lone.where(F.col("count") <= shard_size).select("fp", "block", "value", F.lit(-1).alias("part"), F.lit(0).cast("long").alias("sub"))
-    large = lone.where(F.col("count") > shard_size).select("fp", "block", "value", others.alias("rest"))
-    large = large.select("fp", "block", "value", F.posexplode(F.array(*(_block(F.col("rest"), narrow, k) for k in range(blocks)))).alias("part", "sub"))
+    small = lone.where(F.col("count") <= shard_size).select("own", "fp", "block", "value", F.lit(-1).alias("part"), F.lit(0).cast("long").alias("sub"))
+    large = lone.where(F.col("count") > shard_size).select("own", "fp", "block", "value", others.alias("rest"))
+    large = large.select("own", "fp", "block", "value", F.posexplode(F.array(*(_block(F.col("rest"), narrow, k) for k in range(blocks)))).alias("part", "sub"))
 
     def find_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come sorted by shard; a shard may go on in the next batch
-        key, held = None, []
+        key, held = None, {}
+
+        def found() -> list[tuple[int, ...]]:
+            pairs = shard_links(list(held), radius) if len(held) > 1 else []
+            return [(held[a], a, held[b], b) for a, b in pairs]
+
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            for fp, *own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out: list[tuple[int, ...]] = []
+            for fp, number, *own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if own != key:
-                    out += shard_links(held, radius) if len(held) > 1 else []
-                    key, held = own, []
-                held.append(fp & 0xFFFFFFFFFFFFFFFF)
+                    out += found()
+                    key, held = own, {}
+                held[fp & 0xFFFFFFFFFFFFFFFF] = number & 0xFFFFFFFFFFFFFFFF
             yield _pairs(out)
-        yield _pairs(shard_links(held, radius) if len(held) > 1 else [])
+        yield _pairs(found())
 
     shards = small.unionByName(large).repartition("block", "value", "part", "sub").sortWithinPartitions("block", "value", "part", "sub", "fp")
-    return shards.select("fp", "block", "value", "part", "sub").mapInArrow(find_all, "src long, dst long")
+    found = shards.select("fp", "own", "block", "value", "part", "sub").mapInArrow(find_all, "a long, b long, c long, d long")
+    end = lambda own, fp: F.struct(F.col(own).alias("own"), F.col(fp).alias("fp"))
+    return found.select(end("a", "b").alias("src"), end("c", "d").alias("dst"))
 
 
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    pairs = np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["src", "dst"])
+def _pairs(found: list[tuple[int, ...]]) -> pa.RecordBatch:
+    columns = np.array(found, dtype=np.uint64).reshape(-1, 4).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(columns[:, k]) for k in range(4)], names=["a", "b", "c", "d"])
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,19 +196,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
 
 
 def _grouped(docs: DataFrame, radius: int, id_col: str, text_col: str, *more: str) -> DataFrame:
-    """(id, fp, the columns ``more``, component_id, group); group is the component's least node and never null."""
+    """(id, fp, the columns ``more``, component_id, group), for ids and ``more`` of other names; group is the component's least node and never null."""
     ensure_checkpoints(docs.sparkSession)
     prints = fingerprints(docs, id_col, text_col, *more).checkpoint()
     # a fingerprint stands for its documents under the least of their ids, so a component's least node is the answer;
     # one without any id stands under a number that is above all ids.  The fingerprint is part of the node, since
     # unrelated texts can have one id
-    nodes = prints.groupBy("fp").agg(F.coalesce(F.min(id_col).cast("long"), F.lit(NAMELESS)).alias("own")).select("fp", F.struct("own", "fp").alias("own"))
-    named = lambda k: nodes.select(F.col("fp").alias(k), F.col("own").alias(f"{k}_node"))
-    joined = links(prints, radius).join(named("src"), "src").join(named("dst"), "dst")
-    least = connected_components(joined, "src_node", "dst_node")
-    of_print = nodes.join(least, F.col("own") == F.col("node"), "left").select("fp", F.coalesce("component", "own").alias("group"))
-    component_id = F.when(F.col("group.own") < NAMELESS, F.col("group.own")).alias("component_id")
-    return prints.join(of_print, "fp").select(id_col, "fp", *more, component_id, "group")
+    nodes = prints.groupBy("fp").agg(F.coalesce(F.min(id_col).cast("long"), F.lit(NAMELESS)).alias("own"), F.count("*").alias("n")).checkpoint()
+    least = connected_components(links(nodes.drop("n"), radius), "src", "dst")
+    of_print = nodes.select("fp", "n", F.struct("own", "fp").alias("own")).join(least, F.col("own") == F.col("node"), "left").select("fp", "n", F.coalesce("component", "own").alias("_group"))
+    component_id = F.when(F.col("_group.own") < NAMELESS, F.col("_group.own")).alias("component_id")
+    return join_counted(prints, of_print, "fp", hot=HOT_COPIES).select(id_col, "fp", *more, component_id, F.col("_group").alias("group"))
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,10 +217,10 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text
     """
     from pyspark.sql import Window
 
+    key, group, copy = unused(docs, "_key", "_group", "_copy")
     # rows with one key have one id and one text (null and empty are linked anyway), and so one group
-    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text_col), F.lit(""))))
-    keyed = docs.withColumn("_key", key)
-    found = _grouped(keyed, radius, id_col, text_col, "_key")
-    heads = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select("_key", F.col("group").alias("_group")).distinct()
-    rank = F.row_number().over(Window.partitionBy("_group").orderBy(text_col))
-    return keyed.join(heads, "_key").withColumn("_copy", rank).where("_copy = 1").select(*(keyed[c] for c in docs.columns))
+    keyed = docs.withColumn(key, F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text_col), F.lit("")))))
+    found = _grouped(keyed, radius, id_col, text_col, key)
+    heads = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(key, F.col("group").alias(group)).distinct()
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(text_col))
+    return keyed.join(heads, key).withColumn(copy, rank).where(F.col(copy) == 1).select(*docs.columns)

@@ -143,7 +143,7 @@ def test_links_lose_none(spark, shard):
         c = r.getrandbits(64) & ~(0xFFFF << 16)
         for _ in range(12):
             values.add(c ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 3))))
-    df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    df = spark.createDataFrame([(k, v - (1 << 64) if v >> 63 else v) for k, v in enumerate(values)], "own long, fp long")
     up = {v: v for v in values}
 
     def top(v):
@@ -152,7 +152,7 @@ def test_links_lose_none(spark, shard):
         return v
 
     for row in simhash.links(df, shard_size=shard).collect():
-        a, b = row["src"] & (2**64 - 1), row["dst"] & (2**64 - 1)
+        a, b = row["src"]["fp"] & (2**64 - 1), row["dst"]["fp"] & (2**64 - 1)
         assert (a ^ b).bit_count() <= 3
         up[top(a)] = top(b)
     assert all(top(a) == top(b) for a, b in combinations(values, 2) if (a ^ b).bit_count() <= 3)
@@ -478,3 +478,31 @@ def test_bad_held_out_rows_are_found(spark):
     good = [r["kept"] for r in rows if r["quality"] == 1]
     print(len(bad), sum(bad), len(good), sum(good))
     assert sum(bad) / len(bad) >= 0.9 and sum(good) / len(good) >= 0.98
+
+
+def test_clashing_columns(spark, docs, odd):
+    """Columns with the names of helper columns come through unchanged, and odd rows do not crash the filters."""
+    helpers = ["_key", "_group", "_copy", "_source", "_id", "_copies", "_text", "_quality", "source_size", "group", "fp", "own", "size", "copies", "component_id", "row"]
+    table = odd.drop("key", "n_tokens").select("*", *(F.lit(f"own {c}").alias(c) for c in helpers))
+    bench = spark.createDataFrame([(1, prose(60, 2))], "item_id long, text string")
+    steps = {"good": lambda t: quality.keep_good(t, None), "one": simhash.keep_one, "clean": lambda t: decontaminate.drop_contaminated(t, bench), "mix": mixing.mix}
+    for name, step in steps.items():
+        got = step(table)
+        assert got.columns == table.columns, name
+        assert all(r[c] == f"own {c}" for r in got.collect() for c in helpers), name
+        assert step(table.limit(0)).count() == 0, name
+    assert simhash.near_duplicates(table).count() == mixing.mix_plan(table).count() == table.count()
+
+
+@pytest.mark.parametrize("hot", [0, 3])
+def test_hot_fingerprints(spark, monkeypatch, hot):
+    """Stars and copies that go by broadcast give the same groups."""
+    from newsloom.operators import components
+
+    centre, r = prose(400, 8), random.Random(3)
+    rows = [(k, centre) for k in range(12)] + [(20 + k, " ".join(w if r.random() > 0.01 else "zz" for w in centre.split())) for k in range(25)] + [(60 + k, prose(50, 900 + k)) for k in range(5)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain.components({k: plain.fingerprint(t) for k, t in rows})
+    monkeypatch.setattr(simhash, "HOT_COPIES", hot)
+    monkeypatch.setattr(components.join_counted, "__defaults__", ("n", hot))
+    assert {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(table).collect()} == want
