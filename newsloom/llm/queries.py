@@ -24,15 +24,17 @@ def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(read_table(spark, sf_dir, "documents"))
 
 
-#: The rules of the URL query, and the host labels whose pages' canonical URLs make up its list.
+#: The rules of the URL query.  Its list: the canonical URLs of pages on hosts with one of these labels, and those under
+#: which pages were fetched from several addresses.
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 SPAM_LABELS = ("spam-farm", "free-bets", "cheap-pills", "casino-win", "ads-track", "adult-x")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
-    host = url_filter.host_and_path(F.col("url"))[0]
-    listed = pages.where(F.arrays_overlap(F.split(host, r"\."), F.array(*map(F.lit, SPAM_LABELS)))).select(url_filter.canonical(F.col("url")).alias("key"))
+    spam = F.arrays_overlap(F.split(url_filter.host_and_path(F.col("url"))[0], r"\."), F.array(*map(F.lit, SPAM_LABELS)))
+    forms = pages.where("instr(url, '://') > 0").groupBy(url_filter.canonical(F.col("url")).alias("key")).agg(F.max(spam).alias("spam"), (F.min("url") < F.max("url")).alias("several"))
+    listed = forms.where("spam OR several").select("key")
     rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
     return url_filter.judge_urls(pages, rules, listed)
 
@@ -88,12 +90,15 @@ FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN items USING (doc_id)
 
 _OP3 = r"""
 WITH r(rule, v) AS (VALUES ('com/', 'allow'), ('example.com/en/', 'block'), ('www.example.com/en/', 'allow'), ('net/es/', 'block'), ('net/fr/', 'block')),
-a AS (SELECT page_id, row_number() OVER () AS k, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
-p AS (SELECT page_id, k, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+a AS (SELECT page_id, url, row_number() OVER () AS k, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, url, k, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS query FROM a),
+q AS (SELECT *, array_to_string(list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)'))), '&') AS args FROM p),
+c AS (SELECT *, regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') || regexp_replace(regexp_replace(path, '/index\.[a-z]+$', '/'), '/+$', '') || CASE WHEN args <> '' THEN '?' || args ELSE '' END AS form FROM q),
+l AS (SELECT form FROM c WHERE host <> '' OR instr(url, '://') > 0 GROUP BY form HAVING count(DISTINCT url) > 1 OR bool_or(len(list_intersect(string_split(host, '.'), ['spam-farm', 'free-bets', 'cheap-pills', 'casino-win', 'ads-track', 'adult-x'])) > 0)),
 f AS (SELECT k, rule, v, row_number() OVER (PARTITION BY k ORDER BY length(rule) DESC, rule) AS n FROM p JOIN r
       ON ('.' || host) LIKE ('%.' || split_part(rule, '/', 1)) AND host <> '' AND starts_with(path, substr(rule, instr(rule, '/'))))
 SELECT page_id, host, path, f.rule, coalesce(v, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed
-FROM (SELECT *, len(list_intersect(string_split(host, '.'), ['spam-farm', 'free-bets', 'cheap-pills', 'casino-win', 'ads-track', 'adult-x'])) > 0 AS listed FROM p) p LEFT JOIN f ON f.k = p.k AND f.n = 1
+FROM (SELECT *, host <> '' AND form IN (SELECT form FROM l) AS listed FROM c) c LEFT JOIN f ON f.k = c.k AND f.n = 1
 """
 
 #: Every window of 100 bytes, numbered among its equals; fine for small tables.

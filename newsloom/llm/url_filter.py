@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bits set for each key, keys for each block of 512 bits, and blocks up to which the filter is broadcast (about 100
-#: bytes each); a longer list goes to the exact join without a filter.
+#: bytes each); the blocks of a larger one meet the candidates by their number in a shuffled join.
 BITS, KEYS_PER_BLOCK, MOST_BLOCKS = 8, 32, 100_000
 #: Listed rows up to which the exact join's side is broadcast.
 MOST_BROADCAST = 50_000
@@ -66,15 +66,19 @@ def _bits() -> tuple[Column, Column]:
 def possible_hits(candidates: DataFrame, keys: DataFrame, n_keys: int) -> DataFrame:
     """The candidates (column ``key``) that the filter of ``keys`` passes: all listed ones and a few others."""
     blocks, n_blocks = bloom_blocks(keys, n_keys)
-    if n_blocks > MOST_BLOCKS:
-        return candidates
     word, bit = _bits()
-    probed = candidates.withColumn("block", _block("key", n_blocks)).join(F.broadcast(blocks), "block")
+    probed = candidates.withColumn("block", _block("key", n_blocks)).join(F.broadcast(blocks) if n_blocks <= MOST_BLOCKS else blocks, "block")
     probe = F.arrays_zip(word.alias("w"), bit.alias("b"))
     passes = F.forall(probe, lambda x: F.get(F.col("words"), x["w"]).bitwiseAND(x["b"]) != 0)
     return probed.where(passes).drop("block", "words")
 
 
+def _listed(candidates: DataFrame, keys: DataFrame) -> DataFrame:
+    """The candidates whose key is one of ``keys``, with its columns: the filter first, then the exact join."""
+    n_keys = keys.count()
+    return possible_hits(candidates, keys.select("key"), n_keys).join(F.broadcast(keys) if n_keys <= MOST_BROADCAST else keys, "key")
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row for each row of ``pages``: id, host, path, rule (null if none fits), verdict, listed.
 
@@ -87,9 +91,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col: st
     """
     rules = rules.where("rule is not null").groupBy("rule").agg(F.min("verdict").alias("verdict"))
     rules = rules.select("rule", "verdict", F.substring_index("rule", "/", 1).alias("rule_host"), F.expr("substr(rule, instr(rule, '/'))").alias("rule_path"))
-    keys = rules.select(F.concat(F.lit("r "), "rule_host", F.lit(" "), "rule_path").alias("key"), "rule", "verdict")
-    keys = keys.unionByName(listed.where("key is not null").select(F.concat(F.lit("u "), "key").alias("key"), F.lit(None).cast("string").alias("rule"), F.lit("block").alias("verdict")).distinct())
-    n_keys = keys.count()
+    rule_keys = rules.select(F.concat("rule_host", F.lit(" "), "rule_path").alias("key"), "rule", "verdict")
+    url_keys = listed.where("key is not null").select("key").distinct()
     # the distinct lengths of rules' paths: a page's path is cut at each of them
     lengths = [r[0] for r in rules.select(F.length("rule_path")).distinct().collect()]
     host, path = host_and_path(F.col(url_col))
@@ -97,12 +100,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col: st
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     starts = F.filter(F.array(*(F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths)), lambda p: p.isNotNull()) if lengths else F.array().cast("array<string>")
-    fitting = F.flatten(F.transform(suffixes, lambda h: F.transform(starts, lambda p: F.concat(F.lit("r "), h, F.lit(" "), p))))
-    own = F.when(F.col("host") != "", F.array(F.concat(F.lit("u "), canonical(F.col("url"))))).otherwise(F.array().cast("array<string>"))
-    distinct = urls.select("url").where("url is not null").distinct().withColumn("host", host_and_path(F.col("url"))[0]).withColumn("path", host_and_path(F.col("url"))[1])
-    candidates = distinct.select("url", F.explode(F.array_distinct(F.concat(F.when(F.col("host") != "", fitting).otherwise(F.array().cast("array<string>")), own))).alias("key"))
-    hits = possible_hits(candidates, keys.select("key"), n_keys)
-    exact = hits.join(F.broadcast(keys) if n_keys <= MOST_BROADCAST else keys, "key")
+    fitting = F.array_distinct(F.flatten(F.transform(suffixes, lambda h: F.transform(starts, lambda p: F.concat(h, F.lit(" "), p)))))
+    distinct = urls.select("url", "host", "path").where("host <> ''").distinct()
+    by_rule = _listed(distinct.select("url", F.explode(fitting).alias("key")), rule_keys).select("url", "rule", "verdict")
+    by_url = _listed(distinct.select("url", canonical(F.col("url")).alias("key")), url_keys).select("url", F.lit(None).cast("string").alias("rule"), F.lit("block").alias("verdict"))
+    exact = by_rule.unionByName(by_url)
     best = exact.groupBy("url").agg(
         F.min(F.when(F.col("rule").isNotNull(), F.struct((-F.length("rule")).alias("by"), "rule", "verdict"))).alias("best"),
         F.max(F.col("rule").isNull()).alias("listed"),
