@@ -506,3 +506,70 @@ def test_hot_fingerprints(spark, monkeypatch, hot):
     monkeypatch.setattr(simhash, "HOT_COPIES", hot)
     monkeypatch.setattr(components.join_counted, "__defaults__", ("n", hot))
     assert {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(table).collect()} == want
+
+
+def test_large_url_lists(spark, monkeypatch):
+    """The same verdicts where neither the filter nor the exact join's side is broadcast."""
+    pages = spark.createDataFrame([(k, f"http://h{k % 40}.org/p/{k % 90}{'/' * (k % 3)}{'?ref=a' * (k % 2)}") for k in range(400)] + [(k, "http://hot.org/x") for k in range(400, 500)], "page_id long, url string")
+    rules = spark.createDataFrame([(f"h{k}.org/p/", "allow") for k in range(0, 40, 3)] + [("org/", "block"), ("hot.org/x", "allow")], "rule string, verdict string")
+    listed = spark.createDataFrame([(f"h{k % 40}.org/p/{k % 90}",) for k in range(0, 400, 7)], "key string")
+    want = sorted(map(tuple, url_filter.judge_urls(pages, rules, listed).collect()))
+    monkeypatch.setattr(url_filter, "MOST_BLOCKS", 1)
+    monkeypatch.setattr(url_filter, "MOST_BROADCAST", 1)
+    assert sorted(map(tuple, url_filter.judge_urls(pages, rules, listed).collect())) == want
+    assert {r[4] for r in want} == {"allow", "block"} and {r[5] for r in want} == {True, False}
+
+
+def plain_main_text(rows, min_pages=3, run=8):
+    """Text of each (id, url, html) row by counting every run on every page of its host; blocks as the parser gives them."""
+    blocks = [html_extract.blocks_of(h) for _, _, h in rows]
+    streams = [[w for z, t in b if z for w in t.split(" ")] for b in blocks]
+    seen = collections.defaultdict(set)
+    spans = lambda w: [tuple(w[k : k + run]) for k in range(max(len(w) - run, 0) + 1)] if w else []
+    for (i, url, _), w in zip(rows, streams, strict=True):
+        for s in spans(w):
+            seen[(html_extract.host_of(url), s)].add((i, url))
+    out = []
+    for (_, url, _), b, w in zip(rows, blocks, streams, strict=True):
+        if any(z == html_extract.ARTICLE for z, _ in b):
+            out.append("\n".join(t for z, t in b if z == html_extract.ARTICLE))
+            continue
+        gone = {k + j for k, s in enumerate(spans(w)) if len(seen[(html_extract.host_of(url), s)]) >= min_pages for j in range(run)}
+        at, kept = 0, []
+        for z, t in b:
+            if z:
+                n = len(t.split(" "))
+                if z == html_extract.OPEN and sum(p in gone for p in range(at, at + n)) < html_extract.COVERED * n:
+                    kept.append(t)
+                at += n
+        out.append("\n".join(kept))
+    return out
+
+
+@pytest.mark.parametrize("shard_pages", [128, 2])
+def test_pages_without_names(spark, monkeypatch, shard_pages):
+    """Pages of bare divs: the host's runs alone tell menus, notices and footers from text, as brute force does."""
+    r = random.Random(9)
+    line = lambda n: " ".join(r.choice(VOCAB) + str(r.randint(0, 30)) for _ in range(n))
+    rows = []
+    for host in ("a", "b", "c"):
+        menu, notice, foot = line(12), line(20), line(9)
+        for k in range(7):
+            body = "".join(f"<div>{line(r.randint(1, 40))}</div>" for _ in range(3))
+            rows.append((len(rows), f"https://{host}.org/{k}", f"<div>{menu}</div>" * (k != 3) + body + f"<div>{notice} {line(3)}</div>" * (k % 2) + f"<div><div>{foot}</div></div>"))
+    rows += [(len(rows), "https://a.org/0", rows[0][2]), (99, "https://a.org/9", f"<article><p>{line(5)}</article>{rows[1][2]}")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    monkeypatch.setattr(html_extract, "SHARD_PAGES", shard_pages)
+    for most in (50_000, 0):
+        monkeypatch.setattr(html_extract, "MOST_BROADCAST", most)
+        got = collections.Counter((x["page_id"], x["text"]) for x in html_extract.extract_text(df.repartition(3)).collect())
+        assert got == collections.Counter((p[0], t) for p, t in zip(rows, plain_main_text(rows), strict=True))
+    assert not any(VOCAB and html_extract.blocks_of(rows[0][2])[0][1] in t for t in plain_main_text(rows)[:7])
+
+
+def test_main_text_of_given_pages(spark, sf_dir):
+    """The registered query against brute force on whole pages."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rows = [tuple(x) for x in pages.select("page_id", "url", "html").collect()]
+    got = collections.Counter((x["page_id"], x["url"], x["text"], x["n_chars"]) for x in html_extract.extract_text(pages).collect())
+    assert got == collections.Counter((i, u, t, len(t)) for (i, u, _), t in zip(rows, plain_main_text(rows), strict=True))
