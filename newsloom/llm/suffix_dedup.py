@@ -1,31 +1,32 @@
 """Exact substring dedup: every byte covered by a string of MIN_BYTES that also starts earlier goes.
 
-Three steps, all of them Spark stages.
+Three steps, all of them Spark stages.  Hashes only choose what is compared; every removal rests on equal bytes.
 
 1. Anchors.  A window of MIN_BYTES bytes is filed under its least-hashed K-gram (its anchor).  Equal windows have equal
-   anchors at equal offsets, so only windows whose anchor hash occurs twice can repeat.  Consecutive windows share an
-   anchor; they travel as one entry with a fingerprint of the bytes that they span.  Entries with equal spans collapse
-   to the earliest one, first inside each batch of the scan and then in the shuffle, so that a passage which very many
-   documents hold reaches its bucket once for each batch.
-2. Suffix sorting.  What is left (anchors with several different surroundings) gets its bytes back by a join on the
-   document, and goes to buckets by anchor hash.  A bucket's texts are sorted blockwise with a difference cover
-   (Karkkainen, 2007): sample suffixes at the cover's residues are ranked by prefix doubling; then one block of
-   suffixes after the other is sorted by its first PERIOD bytes, and ties, however long, are settled by the ranks of
-   two sample suffixes at the same distance.  Neighbours with a common prefix of MIN_BYTES form a class; all its
-   members but the earliest are repeats.
+   anchors at equal offsets, so only windows whose anchor occurs twice can repeat.  Consecutive windows share an anchor;
+   they travel as one entry.  Entries of one batch of the scan whose spanned bytes are equal collapse to the earliest
+   one, so that a passage which very many documents hold reaches its bucket once for each batch.
+2. Suffix sorting.  Spans of anchors that occur twice get their bytes by a join on the document and go to buckets by
+   anchor: a bucket holds all suffixes that could be equal to one of its own.  The spans of an anchor with very many of
+   them are dealt out by the bytes that their windows share around the anchor.  In a bucket equal spans collapse to the
+   earliest one, and the suffixes of the others are sorted blockwise with a difference cover (Karkkainen, 2007): sample
+   suffixes at the cover's residues are ranked by prefix doubling; then one block of suffixes after the other is sorted
+   by its first PERIOD bytes, and ties, however long, are settled by the ranks of two sample suffixes at the same
+   distance.  Neighbours with a common prefix of MIN_BYTES form a class; all its members but the earliest are repeats.
 3. Removal.  The repeats' spans meet their documents by a join, and covered bytes are cut.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.tables import fresh_dir
@@ -33,6 +34,8 @@ from newsloom.tables import fresh_dir
 MIN_BYTES, K = 100, 24
 #: Text bytes hashed at once, text bytes for each bucket of the suffix sort, and suffixes sorted at once.
 PART_BYTES, BUCKET_BYTES, BLOCK_SUFFIXES = 1 << 20, 4 << 20, 1 << 19
+#: Buckets of a task, tasks of a stage at most, spans of an anchor above which they are dealt out, and windows of a part.
+TASK_BUCKETS, MOST_TASKS, HOT, PART_WINDOWS = 4, 20_000, 512, 10
 #: The period of the difference cover and its residues: every distance modulo PERIOD is one between two residues.
 PERIOD, COVER = 32, (1, 2, 3, 4, 8, 12, 20)
 NO_ID = -(1 << 63)
@@ -134,13 +137,16 @@ def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-ENTRY = ("<u8", "<u8", "<i8", "<u8", "<i8", "u1", "u1")  # h, ctx, oid, key, lo, off, n
+ENTRY = ("<u8", "<i8", "<u8", "<i8", "u1", "u1")  # h, oid, key, lo, off, n
 _H, _CTX = _U((1 << 48) - 1), _U((1 << 56) - 1)
 
 
-def collapse(h, ctx, oid, key, lo, off, n) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def collapse(texts: list[bytes], text, h, ctx, oid, key, lo, off, n, span: int = MIN_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, first, repeat): entries sorted by hash and span, then by document and place; which of the sorted ones
-    come first of their span, and which have an earlier one."""
+    come first of their span, and which have an earlier one.
+
+    Spans with equal fingerprints are compared byte by byte with the first of them; one that differs counts as a first.
+    """
     order = np.lexsort((lo, key, oid, n, off, ctx, h))
     cols = [c[order] for c in (h, ctx, off, n)]
     first = np.ones(len(order), dtype=bool)
@@ -148,17 +154,24 @@ def collapse(h, ctx, oid, key, lo, off, n) -> tuple[np.ndarray, np.ndarray, np.n
         first[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
     lead = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
     same = [(c[order] == c[order][lead]) for c in (oid, key, lo)]
-    return order, first, ~first & ~np.logical_and.reduce(same)
+    repeat = ~first & ~np.logical_and.reduce(same)
+    own, at, size = text[order].tolist(), lo[order].tolist(), n[order].tolist()
+    for k, j in zip(np.flatnonzero(repeat).tolist(), lead[repeat].tolist(), strict=True):
+        length = size[k] + span
+        if texts[own[k]][at[k] : at[k] + length] != texts[own[j]][at[j] : at[j] + length]:
+            first[k], repeat[k] = True, False
+    return order, first, repeat
 
 
-MARK = pa.schema([("oid", pa.int64()), ("key", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()), ("off", pa.int32()), ("h", pa.int64())])
-MARK_DDL = "oid long, key long, lo long, n int, off int, h long"
+MARK = pa.schema([("oid", pa.int64()), ("key", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()), ("off", pa.int32()), ("h", pa.int64()), ("hot", pa.bool_())])
+MARK_DDL = "oid long, key long, lo long, n int, off int, h long, hot boolean"
 
 
-def _marks(oid, key, lo, n, off=None, h=None) -> pa.RecordBatch:
+def _marks(oid, key, lo, n, off=None, h=None, hot=None) -> pa.RecordBatch:
     """Rows of spans: off is null for repeats that are already known, else the rows still have to be sorted."""
     none = pa.nulls(len(oid))
-    return pa.RecordBatch.from_arrays([pa.array(oid), pa.array(key.view(np.int64)), pa.array(lo), pa.array(n.astype(np.int32)), none.cast(pa.int32()) if off is None else pa.array(off.astype(np.int32)), none.cast(pa.int64()) if h is None else pa.array(h.view(np.int64))], schema=MARK)
+    more = [none.cast(t) for t in (pa.int32(), pa.int64(), pa.bool_())] if off is None else [pa.array(off.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(hot)]
+    return pa.RecordBatch.from_arrays([pa.array(oid), pa.array(key.view(np.int64)), pa.array(lo), pa.array(n.astype(np.int32)), *more], schema=MARK)
 
 
 def _runs(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -322,8 +335,8 @@ def _scan(rows: DataFrame, buckets: int) -> DataFrame:
                 continue
             e = {c: np.concatenate([f[c] for f in found]) for c in found[0]}
             cols = (e["h"] & _H, e["ctx"] & _CTX, oid[e["text"]], key[e["text"]], e["lo"], e["off"], e["n"])
-            order, first, repeat = collapse(*cols)
-            h, ctx, own, own_key, lo, off, n = (c[order] for c in cols)
+            order, first, repeat = collapse(texts, e["text"], *cols)
+            h, _, own, own_key, lo, off, n = (c[order] for c in cols)
             if repeat.any():
                 yield _entries(np.full(1, int(own[0] % buckets)), [b""], [pack(own[repeat], own_key[repeat], lo[repeat], n[repeat])])
             keep = np.flatnonzero(first)
@@ -335,7 +348,7 @@ def _scan(rows: DataFrame, buckets: int) -> DataFrame:
             names, packed = which[cut], []
             for a, b in zip(cut, ends_at, strict=True):
                 k = keep[a:b]
-                packed.append(pack(h[k], ctx[k], np.diff(own[k], prepend=0), own_key[k], lo[k], off[k], n[k]))
+                packed.append(pack(h[k], np.diff(own[k], prepend=0), own_key[k], lo[k], off[k], n[k]))
             yield _entries(names, packed, [b""] * len(packed))
 
     return rows.select("oid", "key", "text").mapInArrow(run, "bucket long, entries binary, repeats binary")
@@ -359,29 +372,40 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tu
         yield bucket, held
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, rows in _by_bucket(batches):
-        parts = []
-        for entries, repeats in rows:
-            if repeats:
-                yield _marks(*unpack(repeats, "<i8", "<u8", "<i8", "u1"))
-            if entries:
-                part = unpack(entries, *ENTRY)
-                part[2] = np.cumsum(part[2])
-                parts.append(part)
-        if not parts:
-            continue
-        cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
-        order, first, repeat = collapse(*cols)
-        h, _, oid, key, lo, off, n = (c[order] for c in cols)
-        if repeat.any():
-            yield _marks(oid[repeat], key[repeat], lo[repeat], n[repeat])
-        h, oid, key, lo, off, n = (c[first] for c in (h, oid, key, lo, off, n))
-        several = np.zeros(len(h), dtype=bool)  # hashes with different spans
-        several[1:] = h[1:] == h[:-1]
-        several[:-1] |= several[1:].copy()
-        if several.any():
-            yield _marks(oid[several], key[several], lo[several], n[several], off[several], h[several])
+def _meet(hot: int):
+    """Known repeats, and the entries of each bucket whose anchor has several; no bytes are here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_bucket(batches):
+            parts = []
+            for entries, repeats in rows:
+                if repeats:
+                    yield _marks(*unpack(repeats, "<i8", "<u8", "<i8", "u1"))
+                if entries:
+                    part = unpack(entries, *ENTRY)
+                    part[1] = np.cumsum(part[1])
+                    parts.append(part)
+            if not parts:
+                continue
+            cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            order = np.argsort(cols[0], kind="stable")
+            h, oid, key, lo, off, n = (c[order] for c in cols)
+            head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            size = np.diff(np.r_[head, len(h)])
+            count = np.repeat(size, size)
+            if (several := count > 1).any():
+                yield _marks(oid[several], key[several], lo[several], n[several], off[several], h[several], count[several] > hot)
+
+    return run
+
+
+def parts_around(data: bytes, lo: int, n: int, off: int, span: int = MIN_BYTES, size: int = PART_WINDOWS) -> Iterator[tuple[int, int, int]]:
+    """(hash, lo, n) of the parts of a span: windows whose anchors are at neighbouring offsets, under a hash of the
+    bytes that all windows at these offsets hold.  Equal windows are in parts of equal hashes."""
+    anchor = lo + off
+    for g in range((off - n) // size, off // size + 1):
+        high, low = min(off, size * g + size - 1), max(off - n, size * g)
+        yield xxhash.xxh64_intdigest(data[anchor - size * g : anchor - size * g - size + 1 + span], g), anchor - high, high - low
 
 
 def _cut(buckets: int, span: int):
@@ -391,7 +415,9 @@ def _cut(buckets: int, span: int):
             for oid, key, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 for s in spans:
-                    out.setdefault(s["h"] % buckets, []).append((oid, key, s["lo"], s["n"], data[s["lo"] : s["lo"] + s["n"] + span]))
+                    parts = parts_around(data, s["lo"], s["n"], s["off"], span) if s["hot"] else ((s["h"], s["lo"], s["n"]),)
+                    for h, lo, n in parts:
+                        out.setdefault(h % buckets, []).append((oid, key, lo, n, data[lo : lo + n + span]))
             packed = []
             for rows in out.values():
                 oid, key, lo, n, data = zip(*rows, strict=True)
@@ -402,6 +428,16 @@ def _cut(buckets: int, span: int):
     return run
 
 
+def equal_spans(contexts: list[bytes], oid: np.ndarray, key: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first of each group of equal contexts, others of a group that are repeats of its first)."""
+    seen: dict[bytes, int] = {}
+    lead = np.arange(len(contexts))
+    for k in np.lexsort((lo, key, oid)).tolist():
+        lead[k] = seen.setdefault(contexts[k], k)
+    other = (oid != oid[lead]) | (key != key[lead]) | (lo != lo[lead])
+    return np.sort(np.fromiter(seen.values(), np.int64, count=len(seen))), np.flatnonzero(other)
+
+
 def _sort_buckets(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_bucket(batches):
@@ -410,7 +446,10 @@ def _sort_buckets(span: int):
             data = b"".join(zstandard.ZstdDecompressor().decompress(d) for _, d in rows)
             ends = np.cumsum(n + span)
             contexts = [data[a:b] for a, b in zip((ends - n - span).tolist(), ends.tolist(), strict=True)]
-            oid, key, lo, n = repeats_in(contexts, oid, key.view(_U), lo, n, span)
+            first, repeat = equal_spans(contexts, oid, key, lo)
+            if len(repeat):
+                yield _marks(oid[repeat], key[repeat].view(_U), lo[repeat], n[repeat])
+            oid, key, lo, n = repeats_in([contexts[k] for k in first.tolist()], oid[first], key[first].view(_U), lo[first], n[first], span)
             if len(oid):
                 yield _marks(oid, key, lo, n)
 
@@ -450,11 +489,24 @@ def _remove(id_col: str, span: int, with_text: bool):
     return run
 
 
+@contextmanager
+def short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside drop their shuffle files when they end; the session's own choice is put back."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row for each row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_text.
 
     A byte is removed if a string of MIN_BYTES bytes inside one text covers it that also starts earlier, in a document
-    of a smaller id or earlier in the same one.  Buckets grow in number with the text, so what a task holds does not.
+    of a smaller id or earlier in the same one.  Buckets grow in number with the text, so what a task holds does not;
+    of an anchor with more than HOT spans a task holds the spans' places, 34 bytes each, and their bytes in parts.
 
     Ids are whole numbers.  Null text is empty; a null id comes before all others; rows with the same id are documents
     of their own, in the order of a hash of id and text, and rows that are equal in both count as one document (all get
@@ -465,17 +517,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = _keyed(docs, id_col, text_col)
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     buckets = max(16, -(-total // BUCKET_BYTES))
-    path = fresh_dir(spark, "suffix-marks")
-    _scan(rows, buckets).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, MARK_DDL).write.parquet(path)
-    marks = spark.read.schema(MARK_DDL).parquet(path)
-    gc.collect()  # frees the finished shuffle's files
-    spark._jvm.System.gc()
-    open_spans = marks.where("off is not null").groupBy("oid", "key").agg(F.collect_list(F.struct("lo", "n", "h")).alias("spans"))
-    cut = rows.select("oid", "key", "text").join(open_spans, ["oid", "key"]).select("oid", "key", "text", "spans").mapInArrow(_cut(buckets, span), "bucket long, entries binary, repeats binary")
-    sorted_path = fresh_dir(spark, "suffix-repeats")
-    cut.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets(span), MARK_DDL).write.parquet(sorted_path)
-    gc.collect()
-    spark._jvm.System.gc()
+    tasks = min(-(-buckets // TASK_BUCKETS), MOST_TASKS)
+    path, sorted_path = fresh_dir(spark, "suffix-marks"), fresh_dir(spark, "suffix-repeats")
+    with short_shuffles(spark):
+        _scan(rows, buckets).repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(HOT), MARK_DDL).write.parquet(path)
+        marks = spark.read.schema(MARK_DDL).parquet(path)
+        open_spans = marks.where("off is not null").groupBy("oid", "key").agg(F.collect_list(F.struct("lo", "n", "off", "h", "hot")).alias("spans"))
+        cut = rows.select("oid", "key", "text").join(open_spans, ["oid", "key"]).select("oid", "key", "text", "spans").mapInArrow(_cut(buckets, span), "bucket long, entries binary, repeats binary")
+        cut.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets(span), MARK_DDL).write.parquet(sorted_path)
     known = marks.where("off is null").unionByName(spark.read.schema(MARK_DDL).parquet(sorted_path))
     spans = known.groupBy("oid", "key").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
     out = rows.join(spans, ["oid", "key"], "left").select("id", "text", "spans")

@@ -573,3 +573,32 @@ def test_main_text_of_given_pages(spark, sf_dir):
     rows = [tuple(x) for x in pages.select("page_id", "url", "html").collect()]
     got = collections.Counter((x["page_id"], x["url"], x["text"], x["n_chars"]) for x in html_extract.extract_text(pages).collect())
     assert got == collections.Counter((i, u, t, len(t)) for (i, u, _), t in zip(rows, plain_main_text(rows), strict=True))
+
+
+def test_hot_anchors_are_dealt_out(spark, monkeypatch):
+    """Passages between 100 and 200 bytes in many different surroundings, with all anchors split into parts."""
+    r = random.Random(21)
+    letters = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passages = [letters(n) for n in (100, 104, 130, 200)]
+    rows = {k: letters(r.randint(0, 150)) + passages[k % 4] + letters(r.randint(0, 150)) + passages[(k + 1) % 4][: 90 + k % 30] for k in range(60)} | {90: "ab" * 300, 91: "b" + "ab" * 200}
+    want = plain.remove_repeats(rows)
+    table = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(5)
+    for hot in (0, 3, 512):
+        monkeypatch.setattr(suffix_dedup, "HOT", hot)
+        got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffix_dedup.remove_repeats(table).collect()}
+        assert got == want, hot
+    for _ in range(300):  # the parts of a span hold its windows once each
+        n, at = r.randint(0, 70), r.randint(0, 300)
+        off = r.randint(n, 76)
+        data = letters(at + n + 200).encode()
+        parts = list(suffix_dedup.parts_around(data, at, n, off))
+        assert sorted(lo + k for _, lo, m in parts for k in range(m + 1)) == list(range(at, at + n + 1))
+
+
+def test_equal_fingerprints_are_compared():
+    """Entries whose hash and fingerprint agree by chance do not collapse."""
+    texts = [b"x" * 100, b"y" * 100, b"x" * 100]
+    zero = np.zeros(3, np.uint64)
+    small = np.zeros(3, np.uint8)
+    order, first, repeat = suffix_dedup.collapse(texts, np.arange(3), zero, zero, np.arange(3), zero, np.zeros(3, np.int64), small, small)
+    assert order.tolist() == [0, 1, 2] and first.tolist() == [True, True, False] and repeat.tolist() == [False, False, True]
