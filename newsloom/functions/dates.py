@@ -6,8 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The first match of each kind is the only one that is tried.
-MONTHS = "January February March April May June July August September October November December".split()
-ENGLISH = r"(?i)(?:" + "|".join(f"{m[:3]}(?:{m[3:]})?" if m[3:] else m for m in MONTHS) + r")\.?\s+\d{1,2},?\s+\d{4}"
+ENGLISH = r"(?i)(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\.?\s+\d{1,2},?\s+\d{4}"
 JAPANESE = r"(\d{4})年(\d{1,2})月(\d{1,2})日"
 NUMERIC = r"(\d{4})[./-](\d{1,2})[./-](\d{1,2})"
 COMPACT = r"(?<!\d)(\d{2})(\d{2})(\d{2})(?!\d)"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,30 +21,62 @@ def _strings(values) -> Column:
     return F.array(*map(F.lit, values)).cast("array<string>")
 
 
-def keyword_hits(blob: Column, keywords: list[str] | tuple[str, ...]) -> Column:
+def with_lower(articles: DataFrame) -> DataFrame:
+    """The articles with ``_lower``, their lower-cased blob, so that each text is lower-cased once for all keywords."""
+    return articles.withColumn("_lower", F.lower(text_blob()))
+
+
+def _contains(lower: Column, word: str) -> Column:
+    return F.contains(lower, F.lower(F.lit(word)))
+
+
+def keyword_hits(lower: Column, keywords: list[str] | tuple[str, ...]) -> Column:
     """The keywords, in order, that the lower-cased text contains anywhere (no word boundaries)."""
     if not keywords:
         return _strings([])
-    lower = F.lower(blob)
-    return F.filter(_strings(keywords), lambda k: F.contains(lower, F.lower(k)))
+    return F.array_compact(F.array(*(F.when(_contains(lower, k), F.lit(k)) for k in keywords)))
 
 
 def keyword_hits_wide(articles: DataFrame, keywords: DataFrame, id_col: str = "article_id") -> DataFrame:
-    """(id, tier, hits) for vocabularies of thousands of keywords: a broadcast of (tier, keyword, ord), one pass over the
-    articles, and a grouping of the hits alone."""
-    blob = articles.select(id_col, F.lower(text_blob()).alias("_blob"))
-    found = blob.join(F.broadcast(keywords), F.contains("_blob", F.lower("keyword")))
-    return found.groupBy(id_col, "tier").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "keyword"))), lambda x: x["keyword"]).alias("hits"))
-
+    """(id, tier, hits) for vocabularies of thousands of keywords (tier, keyword, ord): one pass over the articles.
 
-def noisy_hits(blob: Column, p: Profile) -> Column:
-    """The hits that let an article of a noisy source pass; empty if none do.
+    The vocabulary is configuration; an automaton of all its keywords, made once in each Python worker, reads each text
+    once, so the work does not grow with their number.
+    """
+    listed = keywords.where("keyword <> ''").select("tier", "keyword", F.lower("keyword").alias("lower"), "ord").orderBy("tier", "ord", "keyword").collect()
+    places: dict[str, list[int]] = {}
+    for k, row in enumerate(listed):
+        places.setdefault(row["lower"], []).append(k)
+    rows = [(r["tier"], r["keyword"]) for r in listed]
+    id_type = articles.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for word, own in places.items():
+            automaton.add_word(word, own)
+        automaton.make_automaton()
+        for batch in batches:
+            at, tiers, hits = [], [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                found: dict[str, list[str]] = {}
+                for place in sorted({x for _, own in automaton.iter(text) for x in own}) if places else ():
+                    found.setdefault(rows[place][0], []).append(rows[place][1])
+                at += [k] * len(found)
+                tiers += found.keys()
+                hits += found.values()
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(tiers, pa.string()), pa.array(hits, pa.list_(pa.string()))], names=[id_col, "tier", "hits"])
+
+    return with_lower(articles).select(id_col, "_lower").mapInArrow(run, f"`{id_col}` {id_type}, tier string, hits array<string>")
+
+
+def noisy_hits(direct: Column, strong: Column, weak: Column, general: Column) -> Column:
+    """The hits that let an article of a noisy source pass, from those of its tiers; empty if none do.
 
     Any direct keyword passes; else two strong ones; else general ones without a weak one; else more general ones than
     weak ones, and then those that are not weak.
     """
-    direct, strong, weak = (keyword_hits(blob, p.tiers.get(t, ())) for t in ("direct", "strong", "weak"))
-    general = keyword_hits(blob, p.general())
     rest = F.filter(general, lambda x: ~F.array_contains(weak, x))
     return (
         F.when(F.size(direct) > 0, direct)
@@ -52,6 +87,15 @@ def noisy_hits(blob: Column, p: Profile) -> Column:
     )
 
 
+def tier_hits(articles: DataFrame, p: Profile) -> DataFrame:
+    """The articles with _lower and the hits of their tiers: _direct, _strong, _weak and _general."""
+    words = {t: p.tiers.get(t, ()) for t in ("direct", "strong", "weak")} | {"general": p.general()}
+    return with_lower(articles).withColumns({f"_{t}": keyword_hits(F.col("_lower"), w) for t, w in words.items()})
+
+
+TIER_COLUMNS = ("_direct", "_strong", "_weak", "_general")
+
+
 def is_noisy(source: Column, p: Profile) -> Column:
     return source.isin(*sorted(p.noisy)) if p.noisy else F.lit(False)
 
@@ -63,17 +107,17 @@ def source_tier(source: Column, p: Profile) -> Column:
 
 
 def prefilter_hits(p: Profile, source: str = "source", title: str = "title") -> Column:
-    """The hits of the keyword gate: the noisy gate, or general keywords, or the tag of the first title rule that fits."""
-    blob = text_blob()
-    general = keyword_hits(blob, p.general())
+    """The hits of the keyword gate over the columns of ``tier_hits``: the noisy gate, or general keywords, or the tag of
+    the first title rule that fits."""
     tags = [F.when(F.col(source).startswith(r.source_prefix) & F.col(title).rlike(f"(?i){r.pattern}"), _strings([r.tag])) for r in p.title_rules]
-    ordinary = F.when(F.size(general) > 0, general).otherwise(F.coalesce(*tags, _strings([])))
-    return F.when(is_noisy(F.col(source), p), noisy_hits(blob, p)).otherwise(ordinary)
+    ordinary = F.when(F.size("_general") > 0, F.col("_general")).otherwise(F.coalesce(*tags, _strings([])))
+    return F.when(is_noisy(F.col(source), p), noisy_hits(*map(F.col, TIER_COLUMNS))).otherwise(ordinary)
 
 
 def annotate(articles: DataFrame, p: Profile) -> DataFrame:
     """All rows with hits, prefilter_hit, tier and is_noisy."""
-    out = articles.withColumn("keyword_hits", prefilter_hits(p)).withColumn("prefilter_hit", F.size("keyword_hits") > 0)
+    out = tier_hits(articles, p).withColumn("keyword_hits", prefilter_hits(p)).drop("_lower", *TIER_COLUMNS)
+    out = out.withColumn("prefilter_hit", F.size("keyword_hits") > 0)
     return out.withColumn("tier", source_tier(F.col("source"), p)).withColumn("is_noisy", is_noisy(F.col("source"), p))
 
 
@@ -84,9 +128,9 @@ def gated(articles: DataFrame, p: Profile) -> DataFrame:
 
 def _entity_rule(lower: Column, source: Column, rule: EntityRule) -> Column:
     """A struct (bonus, signals) of one rule, null if it does not apply."""
-    has = lambda words: F.exists(_strings(words), lambda w: F.contains(lower, F.lower(w)))
+    has = lambda words: F.coalesce(*(F.when(_contains(lower, w), True) for w in words), F.lit(False))
     entity = F.coalesce(*(F.when(has(aliases), F.lit(name)) for name, aliases in rule.entities if aliases), F.lit(None).cast("string"))
-    context = F.coalesce(*(F.when(F.contains(lower, F.lit(w.lower())), F.lit(w)) for w in rule.context_keywords), F.lit(None).cast("string"))
+    context = F.coalesce(*(F.when(_contains(lower, w), F.lit(w)) for w in rule.context_keywords), F.lit(None).cast("string"))
     bonus = F.least(F.lit(rule.entity_bonus) + F.when(context.isNotNull(), rule.context_bonus).otherwise(0), F.lit(rule.max_bonus))
     signals = F.array_compact(F.array(F.lit(f"source_boost:{rule.source_id}"), F.concat(F.lit("entity:"), entity), F.concat(F.lit("entity_context:"), context)))
     return F.when((source == rule.source_id) & entity.isNotNull(), F.struct(bonus.cast("int").alias("bonus"), signals.alias("signals")))
@@ -94,9 +138,8 @@ def _entity_rule(lower: Column, source: Column, rule: EntityRule) -> Column:
 
 def entity_boost(articles: DataFrame, p: Profile) -> DataFrame:
     """Rows with boost (the sum over the source's rules, each capped) and boost_signals."""
-    lower = F.lower(text_blob())
-    found = F.array_compact(F.array(*(_entity_rule(lower, F.col("source"), r) for r in p.entity_rules))) if p.entity_rules else F.array().cast("array<struct<bonus:int,signals:array<string>>>")
-    out = articles.withColumn("_rules", found)
+    found = F.array_compact(F.array(*(_entity_rule(F.col("_lower"), F.col("source"), r) for r in p.entity_rules))) if p.entity_rules else F.array().cast("array<struct<bonus:int,signals:array<string>>>")
+    out = with_lower(articles).withColumn("_rules", found).drop("_lower")
     out = out.withColumn("boost", F.aggregate("_rules", F.lit(0), lambda s, r: s + r["bonus"]))
     return out.withColumn("boost_signals", F.flatten(F.transform("_rules", lambda r: r["signals"]))).drop("_rules")
 
@@ -107,14 +150,14 @@ def prioritized(annotated: DataFrame, p: Profile) -> DataFrame:
     Priority: hits, plus the source's tier, plus 3 for each high-priority tier with a keyword inside the joined hits,
     plus 2 for a hit, less 1 for a noisy source (not below 0), plus the boost.
     """
-    joined = F.lower(F.array_join("keyword_hits", " "))
     high = F.lit(0)
     for tier in p.high_priority_tiers:
         if words := p.tiers.get(tier, ()):
-            high = high + F.when(F.exists(_strings(words), lambda w: F.contains(joined, F.lower(w))), 3).otherwise(0)
+            high = high + F.coalesce(*(F.when(_contains(F.col("_joined"), w), 3) for w in words), F.lit(0))
     base = F.size("keyword_hits") + F.col("tier") + high + F.when(F.col("prefilter_hit"), 2).otherwise(0)
     base = F.when(F.col("is_noisy"), F.greatest(F.lit(0), base - 1)).otherwise(base)
-    return entity_boost(annotated, p).withColumn("priority", (base + F.col("boost")).cast("int"))
+    out = entity_boost(annotated, p).withColumn("_joined", F.lower(F.array_join("keyword_hits", " ")))
+    return out.withColumn("priority", (base + F.col("boost")).cast("int")).drop("_joined")
 
 
 def within_recency(df: DataFrame, hours: int, as_of: str, published: str = "published_at", allow_undated: Column | None = None) -> DataFrame:

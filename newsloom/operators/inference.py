@@ -17,6 +17,7 @@ from newsloom.functions.replies import extract_json, parse_analysis, parse_score
 from newsloom.functions.text import filled
 from newsloom.operators.scored import need_lineage, related_items, unscored
 from newsloom.profiles import Profile
+from newsloom.tables import ensure_checkpoints
 
 Infer = Callable[[list[str]], list[str | None]]
 
@@ -81,11 +82,16 @@ def with_replies(df: DataFrame, infer: Infer, prompt: str = "prompt", calls_at_o
 
 
 def score(candidates: DataFrame, scores: DataFrame, infer: Infer, p: Profile, provider: str, model: str, now: str, calls_at_once: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(new scores, dead letters) for candidates that this model has not scored; failing rows are dropped to the latter."""
+    """(new scores, dead letters) for candidates that this model has not scored; failing rows are dropped to the latter.
+
+    The model is called once: its replies are kept in the shared folder, and both results read them.
+    """
     need_lineage(provider=provider, model=model)
     todo = unscored(candidates, scores, provider, model).withColumn("prompt", score_prompt(p))
     replied = with_replies(todo, infer, calls_at_once=calls_at_once)
     parsed = replied.select("article_id", *parse_score(category_field=p.category_field, signal_field=p.signal_field), F.col("reply").alias("model_raw"), F.lit(provider).alias("provider"), F.lit(model).alias("model"), F.lit(now).cast("timestamp").alias("scored_at"))
+    ensure_checkpoints(candidates.sparkSession)
+    parsed = parsed.checkpoint()
     return parsed.where("relevance_score IS NOT NULL"), parsed.where("relevance_score IS NULL").select("article_id", "provider", "model", "model_raw")
 
 

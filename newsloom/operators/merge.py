@@ -21,9 +21,11 @@ def insert_new_articles(articles: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def last_wins(current: DataFrame, changes: DataFrame, key: list[str], time: str) -> DataFrame:
-    """Union in which the latest row of each key stays; at equal times the change wins."""
+    """Union in which the latest row of each key stays; at equal times the change wins, and of several changes the one
+    with the greatest other columns, in their order."""
     both = current.withColumn("_c", F.lit(0)).unionByName(changes.withColumn("_c", F.lit(1)))
-    last = F.row_number().over(Window.partitionBy(*key).orderBy(F.col(time).desc(), F.col("_c").desc()))
+    others = [F.col(c).desc_nulls_last() for c in current.columns if c not in (*key, time)]
+    last = F.row_number().over(Window.partitionBy(*key).orderBy(F.col(time).desc(), F.col("_c").desc(), *others))
     return both.withColumn("_k", last).where("_k = 1").drop("_k", "_c")
 
 
@@ -45,11 +47,14 @@ def merge_tracker(tracker: DataFrame, changes: DataFrame, now: str) -> DataFrame
     """Tracker rows merged with analysed items.
 
     New keys start without an owner as 'pending'; known ones get the analysis columns and updated_at.  The date of an
-    item is its publication, else when it was collected.
+    item is its publication, else when it was collected.  Of several items with one key the latest by analyzed_at (where
+    they have it) counts, and of equally late ones the one with the greatest columns in the order of REFRESHED.
     """
     at = F.lit(now).cast("timestamp")
     c = changes.withColumn("item_date", F.coalesce("published_at", "collected_at")).withColumn("original_link", F.col("url"))
-    c = c.select(*LINEAGE_KEY, F.lit(True).alias("_hit"), *(F.col(x).alias(f"_{x}") for x in REFRESHED))
+    late = F.col("analyzed_at") if "analyzed_at" in c.columns else F.lit(None).cast("timestamp")
+    c = c.groupBy(*LINEAGE_KEY).agg(F.max(F.struct(late.alias("late"), *REFRESHED)).alias("_last"))
+    c = c.select(*LINEAGE_KEY, F.lit(True).alias("_hit"), *(F.col(f"_last.{x}").alias(f"_{x}") for x in REFRESHED))
     both = tracker.withColumn("_old", F.lit(True)).join(c, LINEAGE_KEY, "full_outer")
     hit = F.coalesce("_hit", F.lit(False))
     new_id = F.xxhash64(*LINEAGE_KEY).bitwiseAND(F.lit((1 << 63) - 1))
@@ -62,15 +67,20 @@ def merge_tracker(tracker: DataFrame, changes: DataFrame, now: str) -> DataFrame
 def apply_actions(tracker: DataFrame, actions: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
     """(tracker with people's owner and status changes, rejected actions).
 
-    Null fields change nothing; an action for an unknown id or without any field is rejected.
+    Null fields change nothing; an action for an unknown id or without any field is rejected.  Several actions on one id
+    are one: each field takes its latest value by acted_at (where actions have it), else the greatest.
     """
-    empty = F.col("new_owner").isNull() & F.col("new_status").isNull()
+    empty = F.col("owner").isNull() & F.col("status").isNull()
+    at = F.col("acted_at") if "acted_at" in actions.columns else F.lit(None).cast("timestamp")
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(at.alias("at"), F.col(c).alias("value"))))["value"]
+    once = actions.where(~empty).groupBy("id").agg(last("owner").alias("new_owner"), last("status").alias("new_status"))
+    out = tracker.join(once, "id", "left")
+    touched = F.col("new_owner").isNotNull() | F.col("new_status").isNotNull()
+    updated = F.when(touched, F.lit(now).cast("timestamp")).otherwise(F.col("updated_at"))
+    changed = out.withColumn("updated_at", updated).withColumn("owner", F.coalesce("new_owner", "owner")).withColumn("status", F.coalesce("new_status", "status")).drop("new_owner", "new_status")
     a = actions.select("id", F.col("owner").alias("new_owner"), F.col("status").alias("new_status"))
-    out = tracker.join(a.where(~empty), "id", "left")
-    touched = ~empty
-    changed = out.withColumn("owner", F.coalesce("new_owner", "owner")).withColumn("status", F.coalesce("new_status", "status")).withColumn("updated_at", F.when(touched, F.lit(now).cast("timestamp")).otherwise(F.col("updated_at"))).drop("new_owner", "new_status")
     unknown = a.join(tracker.select("id"), "id", "left_anti").withColumn("reason", F.lit("unknown id"))
-    nothing = a.where(empty).join(tracker.select("id"), "id", "left_semi").withColumn("reason", F.lit("no field to change"))
+    nothing = a.where("new_owner IS NULL AND new_status IS NULL").join(tracker.select("id"), "id", "left_semi").withColumn("reason", F.lit("no field to change"))
     return changed, unknown.unionByName(nothing)
 
 
@@ -90,21 +100,19 @@ def run_lifecycle(events: DataFrame) -> DataFrame:
     )
 
 
-def evolve_scores(old: DataFrame, columns: list[str], provider: str = "legacy", model: str = "legacy") -> DataFrame:
+def evolve_scores(old: DataFrame, columns: list[str], former: dict[str, str] | None = None, provider: str = "legacy", model: str = "legacy") -> DataFrame:
     """Score rows of an older layout in the canonical one.
 
-    Missing provider and model get constants; category and signal fall back to their former names; other columns that
-    the layout lacks are null.
+    Missing provider and model get constants; a column falls back to the one that ``former`` names; columns that the
+    layout lacks are null.
     """
-    has = set(old.columns)
-    first = lambda *names: F.coalesce(*([F.col(n) for n in names if n in has] or [F.lit(None).cast("string")]))
-    special: dict[str, Column] = {
-        "provider": F.coalesce(first("provider"), F.lit(provider)),
-        "model": F.coalesce(first("model"), F.lit(model)),
-        "category": first("category", "fx_channel"),
-        "signal": first("signal", "likely_usdjpy_direction"),
-    }
-    return old.select(*(special.get(c, F.col(c) if c in has else F.lit(None).cast("string")).alias(c) for c in columns))
+    has, former, constants = set(old.columns), former or {}, {"provider": provider, "model": model}
+
+    def filled_from(name: str) -> Column:
+        found = [F.col(c) for c in (name, former.get(name)) if c in has] + [F.lit(constants[name])] * (name in constants)
+        return F.coalesce(*found) if found else F.lit(None).cast("string")
+
+    return old.select(*(filled_from(c).alias(c) for c in columns))
 
 
 def expire_reports(runs: DataFrame, days: int, as_of: str) -> DataFrame:

@@ -85,12 +85,15 @@ def model_coverage(frozen: DataFrame, models: DataFrame, scores: DataFrame, atte
     ``scores`` are those before the run; ``attempts`` are this run's tries (article_id, provider, model, ok).
     """
     key = ["article_id", "provider", "model"]
-    plan = frozen.select("article_id").join(F.broadcast(models))
-    plan = plan.join(scores.select(*key, F.lit(True).alias("had")), key, "left").join(attempts.select(*key, "ok"), key, "left")
-    return plan.groupBy("provider", "model").agg(
-        F.count_if(F.col("had").isNull()).alias("attempted"), F.count_if(F.col("had").isNull() & F.coalesce("ok", F.lit(False))).alias("scored"),
-        F.count_if(F.col("had").isNotNull()).alias("skipped"), F.count_if(F.col("had").isNull() & ~F.coalesce("ok", F.lit(False))).alias("failed"),
-    )
+    items = frozen.select("article_id").distinct()
+    had = scores.select(*key).distinct().join(items, "article_id", "left_semi")
+    done = attempts.where("ok").select(*key).distinct().join(items, "article_id", "left_semi").join(had, key, "left_anti")
+    per = had.groupBy("provider", "model").agg(F.count("*").alias("skipped"))
+    ok = done.groupBy("provider", "model").agg(F.count("*").alias("scored"))
+    none = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    out = models.select("provider", "model").distinct().join(per, ["provider", "model"], "left").join(ok, ["provider", "model"], "left")
+    attempted = F.lit(items.count()) - none("skipped")
+    return out.select("provider", "model", attempted.alias("attempted"), none("scored").alias("scored"), none("skipped").alias("skipped"), (attempted - none("scored")).alias("failed"))
 
 
 def daily_source_counts(events: DataFrame, time: str, source: str) -> DataFrame:

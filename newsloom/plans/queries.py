@@ -57,13 +57,15 @@ def content_hash(spark, sf_dir):
     return articles_v(spark, sf_dir).select("article_id", "content_hash")
 
 
-_NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '\b(the|and)\b', ' ', 'g'), '[^a-z0-9\s]+', ' ', 'g'), '\s+', ' ', 'g'))"
+#: Letters, marks and digits beyond ASCII count as parts of words: they become a capital, which no lower-cased text has,
+#: as the boundaries of this SQL's patterns only know ASCII; all else beyond ASCII becomes a dash first.
+_WORDLY = r"regexp_replace(regexp_replace(lower({}), '[^\x00-\x7F\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}]', '-', 'g'), '[^\x00-\x7F]', 'Q', 'g')"
+_NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(" + _WORDLY + r", '\b(the|and)\b', ' ', 'g'), '[^a-z0-9\s]+', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
-@query(f"SELECT article_id, {_NORM.format('title')} AS norm_title, {_NORM.format(_BLOB)} AS norm_blob FROM articles_v WHERE regexp_full_match({_BLOB}, '[\\x00-\\x7F]*')")
+@query(f"SELECT article_id, {_NORM.format('title')} AS norm_title, {_NORM.format(_BLOB)} AS norm_blob FROM articles_v")
 def normalize_text(spark, sf_dir):
-    """Texts of plain ASCII: word boundaries next to other letters differ between the two engines."""
-    a = articles_v(spark, sf_dir).where(text.text_blob().rlike(r"^[\x00-\x7F]*$"))
+    a = articles_v(spark, sf_dir)
     return a.select("article_id", text.normalize_text(F.col("title"), PROFILE.boilerplate).alias("norm_title"), text.normalize_text(text.text_blob(), PROFILE.boilerplate).alias("norm_blob"))
 
 
@@ -74,9 +76,9 @@ def identifiers_capacities(spark, sf_dir):
     return d.select(F.col("doc_id").alias("article_id"), listed(F.array_sort(text.latin_identifiers(F.col("text")))).alias("identifiers"), listed(F.array_sort(text.capacity_values(F.col("text")))).alias("capacities"))
 
 
-@query(r"""SELECT article_id, array_to_string(list_filter([title, summary, raw_excerpt], lambda x: x IS NOT NULL AND x <> ''), ' ') AS blob, trim(title) AS plain FROM articles_v""")
+@query(r"""SELECT article_id, array_to_string(list_filter([title, summary, raw_excerpt], lambda x: x IS NOT NULL AND x <> ''), ' ') AS blob, CASE WHEN contains(title, '<') THEN trim(regexp_replace(regexp_replace(title, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) ELSE trim(title) END AS plain FROM articles_v""")
 def text_blob(spark, sf_dir):
-    return articles_v(spark, sf_dir).select("article_id", text.text_blob().alias("blob"), text.strip_html(F.regexp_replace("title", "<", "(")).alias("plain"))
+    return articles_v(spark, sf_dir).select("article_id", text.text_blob().alias("blob"), text.strip_html(F.col("title")).alias("plain"))
 
 
 _D = "substr(CAST(ts AS VARCHAR), 1, 10)"
@@ -127,9 +129,8 @@ g AS (SELECT *, CAST(CASE WHEN is_noisy THEN greatest(0, base - 1) ELSE base END
 
 @query(_G + "SELECT article_id, array_to_string(direct, '|') AS direct, array_to_string(strong, '|') AS strong, array_to_string(weak, '|') AS weak, array_to_string(general, '|') AS general FROM g")
 def keyword_hits(spark, sf_dir):
-    blob = text.text_blob()
-    tiers = {**PROFILE.tiers, "general": tuple(_GENERAL)}
-    return articles_v(spark, sf_dir).select("article_id", *(listed(gate.keyword_hits(blob, words)).alias(tier) for tier, words in tiers.items()))
+    found = gate.tier_hits(articles_v(spark, sf_dir), PROFILE)
+    return found.select("article_id", *(listed(f"_{tier}").alias(tier) for tier in ("direct", "strong", "weak", "general")))
 
 
 @query(_G + "SELECT article_id, t.tier, array_to_string(t.hits, '|') AS hits FROM g, LATERAL (VALUES ('direct', direct), ('strong', strong), ('weak', weak)) t(tier, hits) WHERE len(t.hits) > 0")
@@ -141,7 +142,7 @@ def keyword_hits_wide(spark, sf_dir):
 @query(_G + "SELECT article_id, array_to_string(noisy_hits, '|') AS hits FROM g WHERE is_noisy")
 def noisy_gate(spark, sf_dir):
     a = articles_v(spark, sf_dir).where(gate.is_noisy(F.col("source"), PROFILE))
-    return a.select("article_id", listed(gate.noisy_hits(text.text_blob(), PROFILE)).alias("hits"))
+    return gate.tier_hits(a, PROFILE).select("article_id", listed(gate.noisy_hits(*map(F.col, gate.TIER_COLUMNS))).alias("hits"))
 
 
 @query(_G + "SELECT article_id, hit AS prefilter_hit, array_to_string(hits, '|') AS hits, tier, is_noisy FROM g")
@@ -293,10 +294,9 @@ def scored_listing(spark, sf_dir):
     return quality.scored_listing(scored_v(spark, sf_dir), AS_OF).select("provider", "model", "article_id", "relevance_score", "age_days")
 
 
-@query("SELECT article_id, coalesce(category, 'other') AS category, entity, coalesce(impact, '') AS impact FROM analyses_v WHERE article_id % 5 = 0")
+@query("SELECT article_id, coalesce(category, 'other') AS category, entity, coalesce(impact, '') AS impact FROM analyses_v")
 def lookup_analyses(spark, sf_dir):
-    ids = articles_v(spark, sf_dir).where("article_id % 5 = 0")
-    return scored.lookup_analyses(analyses_v(spark, sf_dir), ids, "demo", "p0", "m0", "a0", "b0").select("article_id", "category", "entity", "impact")
+    return scored.lookup_analyses(analyses_v(spark, sf_dir), articles_v(spark, sf_dir), "demo", "p0", "m0", "a0", "b0").select("article_id", "category", "entity", "impact")
 
 
 @query("SELECT article_id, article_id IN (SELECT article_id FROM analyses_v) AS cached FROM scores_v WHERE provider = 'p0'")
@@ -364,17 +364,20 @@ def cross_language_pairs(spark, sf_dir):
     return similarity.cross_language_pairs(a, PROFILE, "article_id", title_col="title")
 
 
-@query(r""", t AS (SELECT DISTINCT ON (norm) article_id, norm FROM (SELECT doc_id AS article_id, trim(regexp_replace(regexp_replace(lower(substring(text, 1, 500)), '[^a-z0-9\s]+', ' ', 'g'), '\s+', ' ', 'g')) AS norm FROM documents) WHERE norm <> '' ORDER BY norm, article_id),
-w AS (SELECT article_id, string_split(norm, ' ') AS w FROM t),
-s AS (SELECT DISTINCT article_id, unnest(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' '))) AS s FROM w),
-n AS (SELECT article_id, count(*) AS n FROM s GROUP BY article_id),
-o AS (SELECT x.article_id AS a, y.article_id AS b, count(*) AS shared FROM s x JOIN s y ON x.s = y.s AND x.article_id < y.article_id GROUP BY x.article_id, y.article_id)
-SELECT a, b, shared FROM o JOIN n na ON na.article_id = a JOIN n nb ON nb.article_id = b WHERE shared >= 0.5 * (na.n + nb.n - shared)""")
+@query(r""", t AS (SELECT doc_id AS article_id, trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\s]+', ' ', 'g'), '\s+', ' ', 'g')) AS norm FROM documents),
+c AS (SELECT norm, min(article_id) AS class_id FROM t GROUP BY norm),
+w AS (SELECT class_id, string_split(norm, ' ') AS w FROM c WHERE norm <> ''),
+s AS (SELECT DISTINCT class_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS s FROM w),
+n AS (SELECT class_id, count(*) AS n FROM s GROUP BY class_id),
+o AS (SELECT x.class_id AS a, y.class_id AS b, count(*) AS shared FROM s x JOIN s y ON x.s = y.s AND x.class_id < y.class_id GROUP BY x.class_id, y.class_id),
+p AS (SELECT a, b FROM o JOIN n na ON na.class_id = a JOIN n nb ON nb.class_id = b WHERE shared >= 0.8 * (na.n + nb.n - shared)),
+l AS (SELECT class_id, count(*) AS links FROM (SELECT a AS class_id FROM p UNION ALL SELECT b FROM p) GROUP BY class_id)
+SELECT article_id, class_id, coalesce(links, 0) AS links FROM t JOIN c USING (norm) LEFT JOIN l USING (class_id)""")
 def shingle_jaccard_pairs(spark, sf_dir):
-    """Pairs of different texts at a Jaccard similarity of at least one half over three-word shingles."""
-    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), text.normalize_text(F.substring("text", 1, 500)).alias("text")).where("text <> ''")
-    distinct = d.groupBy("text").agg(F.min("article_id").alias("article_id"))
-    return similarity.shingle_jaccard_pairs(distinct, 3, 0.5).select("a", "b", F.col("shared").cast("long").alias("shared"))
+    """Each document with its class of equal normalised texts and the number of other classes that are similar: 0.8 of
+    the five-word shingles of the whole texts."""
+    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), text.normalize_text(F.coalesce("text", F.lit(""))).alias("text"))
+    return similarity.shingle_links(d).select("article_id", "class_id", "links")
 
 
 @query()
@@ -493,35 +496,40 @@ def _tracker_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(analyses_v(spark, sf_dir), "article_id")
 
 
-def tracker_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tracker of every fourth article with some human columns."""
+def tracker_v(spark: SparkSession, items: DataFrame) -> DataFrame:
+    """A tracker of analysed items with some human columns."""
     from newsloom.schemas import TRACKER
 
-    base = merge.merge_tracker(spark.createDataFrame([], TRACKER), _tracker_items(spark, sf_dir).where("article_id % 4 = 0"), "2024-02-05 00:00:00")
+    base = merge.merge_tracker(spark.createDataFrame([], TRACKER), items, "2024-02-05 00:00:00")
     return base.withColumn("id", F.col("article_id")).withColumn("owner", F.when(F.col("article_id") % 8 == 0, F.lit("ann"))).withColumn("status", F.when(F.col("article_id") % 8 == 0, F.lit("done")).otherwise(F.col("status")))
 
 
-_TRACK = f"""SELECT a.article_id, {_TS.format('coalesce(s.published_at, s.collected_at)')} AS item_date, a.impact, CASE WHEN a.article_id % 8 = 0 THEN 'ann' END AS owner, CASE WHEN a.article_id % 8 = 0 THEN 'done' ELSE 'pending' END AS status,
-CASE WHEN a.article_id % 4 = 0 THEN '2024-02-05 00:00:00' ELSE '{NOW}' END AS created, '{NOW}' AS updated FROM analyses_v a JOIN scored_v s ON s.article_id = a.article_id AND s.provider = 'p0'"""
+_KNOWN = "coalesce(s.published_at < TIMESTAMP '2024-01-20', false)"
+_TRACK = f"""SELECT a.article_id, {_TS.format('coalesce(s.published_at, s.collected_at)')} AS item_date, a.impact, CASE WHEN {_KNOWN} AND a.article_id % 8 = 0 THEN 'ann' END AS owner, CASE WHEN {_KNOWN} AND a.article_id % 8 = 0 THEN 'done' ELSE 'pending' END AS status,
+CASE WHEN {_KNOWN} THEN '2024-02-05 00:00:00' ELSE '{NOW}' END AS created, '{NOW}' AS updated FROM analyses_v a JOIN scored_v s ON s.article_id = a.article_id AND s.provider = 'p0'"""
 
 
 @query(_TRACK)
 def merge_tracker(spark, sf_dir):
-    out = merge.merge_tracker(tracker_v(spark, sf_dir), _tracker_items(spark, sf_dir), NOW)
+    """All analysed items go into a tracker that knows the older ones; each comes twice, once with an older analysis."""
+    items = _tracker_items(spark, sf_dir)
+    older = items.withColumn("impact", F.lit("outdated")).withColumn("analyzed_at", F.col("analyzed_at") - F.expr("INTERVAL 1 DAY"))
+    out = merge.merge_tracker(tracker_v(spark, items.where("published_at < TIMESTAMP '2024-01-20'")), items.unionByName(older), NOW)
     return out.select("article_id", shown("item_date").alias("item_date"), "impact", "owner", "status", shown("created_at").alias("created"), shown("updated_at").alias("updated"))
 
 
-@query(f"""SELECT article_id AS id, CASE WHEN article_id % 12 = 0 THEN 'bob' WHEN article_id % 8 = 0 THEN 'ann' END AS owner, CASE WHEN article_id % 8 = 0 THEN 'done' ELSE 'pending' END AS status, CASE WHEN article_id % 12 = 0 THEN '{NOW}' ELSE '2024-02-05 00:00:00' END AS updated FROM analyses_v WHERE article_id % 4 = 0""")
+@query(f"""SELECT article_id AS id, CASE WHEN article_id % 12 = 0 THEN 'bob' WHEN article_id % 8 = 0 THEN 'ann' END AS owner, CASE WHEN article_id % 8 = 0 THEN 'done' ELSE 'pending' END AS status, CASE WHEN article_id % 12 = 0 THEN '{NOW}' ELSE '2024-02-05 00:00:00' END AS updated FROM analyses_v""")
 def apply_actions(spark, sf_dir):
-    t = tracker_v(spark, sf_dir)
-    actions = t.where("id % 12 = 0").select("id", F.lit("bob").alias("owner"), F.lit(None).cast("string").alias("status"))
-    return merge.apply_actions(t, actions, NOW)[0].select("id", "owner", "status", shown("updated_at").alias("updated"))
+    """Two actions on each twelfth row of a whole tracker; the later one counts."""
+    t = tracker_v(spark, _tracker_items(spark, sf_dir))
+    action = lambda who, at: t.where("id % 12 = 0").select("id", F.lit(who).alias("owner"), F.lit(None).cast("string").alias("status"), F.lit(at).alias("acted_at"))
+    return merge.apply_actions(t, action("zoe", 1).unionByName(action("bob", 2)), NOW)[0].select("id", "owner", "status", shown("updated_at").alias("updated"))
 
 
-@query("SELECT article_id AS id, CASE WHEN article_id % 8 = 0 THEN 'ann' ELSE '' END AS owner, impact FROM analyses_v WHERE article_id % 4 = 0 AND article_id % 8 = 0 ORDER BY article_id LIMIT 50")
+@query("SELECT article_id AS id, 'ann' AS owner, impact FROM analyses_v WHERE article_id % 8 = 0 ORDER BY article_id LIMIT 50")
 def tracker_query(spark, sf_dir):
     """A listing with a limit; all rows changed at the same time, so the id decides."""
-    return scored.tracker_query(tracker_v(spark, sf_dir), "demo", 50, status="done").select("id", "owner", "impact")
+    return scored.tracker_query(tracker_v(spark, _tracker_items(spark, sf_dir)), "demo", 50, status="done").select("id", "owner", "impact")
 
 
 def run_events_v(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -542,7 +550,7 @@ def run_lifecycle(spark, sf_dir):
 @query("SELECT article_id, 'legacy' AS provider, 'legacy' AS model, CASE WHEN article_id % 2 = 0 THEN category ELSE 'old' END AS category, signal FROM scores_v")
 def evolve_scores(spark, sf_dir):
     old = scores_v(spark, sf_dir).select("article_id", F.when(F.col("article_id") % 2 == 0, F.col("category")).alias("category"), F.lit("old").alias("fx_channel"), F.col("signal").alias("likely_usdjpy_direction"))
-    return merge.evolve_scores(old, ["article_id", "provider", "model", "category", "signal"])
+    return merge.evolve_scores(old, ["article_id", "provider", "model", "category", "signal"], {"category": "fx_channel", "signal": "likely_usdjpy_direction"})
 
 
 @query(f"SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-02-20' - INTERVAL 30 DAY")

@@ -41,6 +41,7 @@ PROFILE = Profile(
 
 
 def articles_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as articles: the start of the first line is the title, the whole text the summary."""
     d = read_table(spark, sf_dir, "documents")
     published = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=F.pmod(F.col("doc_id") * 37, F.lit(43200)).cast("int"))
     out = d.select(
@@ -48,7 +49,7 @@ def articles_v(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 120).alias("title"),
         F.concat(F.lit("https://"), "source", F.lit(".example.com/"), "lang", F.lit("/"), F.col("doc_id").cast("string")).alias("url"),
         F.when(F.col("doc_id") % 13 != 0, published).alias("published_at"),
-        F.substring("text", 1, 500).alias("summary"), F.substring("text", 1, 300).alias("raw_excerpt"),
+        F.col("text").alias("summary"), F.substring("text", 1, 300).alias("raw_excerpt"),
         (F.lit("2024-01-31").cast("timestamp") + F.make_dt_interval(secs=(F.col("doc_id") % 86400).cast("decimal(18,6)"))).alias("collected_at"),
     )
     return out.withColumn("content_hash", content_hash())
@@ -78,8 +79,8 @@ def scores_v(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def analyses_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Analyses of every second scored article by model p0/m0."""
-    s = scores_v(spark, sf_dir).where("provider = 'p0' AND article_id % 2 = 0")
+    """Analyses of the more relevant articles by model p0/m0."""
+    s = scores_v(spark, sf_dir).where("provider = 'p0' AND relevance_score >= 50")
     return s.select(
         "article_id", F.lit("demo").alias("profile_id"), F.col("provider").alias("scoring_provider"), F.col("model").alias("scoring_model"), F.lit("a0").alias("analysis_provider"), F.lit("b0").alias("analysis_model"),
         F.when(F.col("article_id") % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("c"), (F.col("article_id") % 7).cast("string"))).alias("category"), F.concat(F.lit("e"), (F.col("article_id") % 11).cast("string")).alias("entity"),
@@ -94,7 +95,7 @@ articles_v AS (
     SELECT *, sha256(concat_ws('|', source, title, url)) AS content_hash FROM (
     SELECT doc_id AS article_id, source, substring(split_part(text, chr(10), 1), 1, 120) AS title, 'https://' || source || '.example.com/' || lang || '/' || doc_id AS url,
            CASE WHEN doc_id % 13 <> 0 THEN TIMESTAMP '2024-01-01' + to_minutes((doc_id * 37) % 43200) END AS published_at,
-           substring(text, 1, 500) AS summary, substring(text, 1, 300) AS raw_excerpt, TIMESTAMP '2024-01-31' + to_seconds(doc_id % 86400) AS collected_at FROM documents)),
+           text AS summary, substring(text, 1, 300) AS raw_excerpt, TIMESTAMP '2024-01-31' + to_seconds(doc_id % 86400) AS collected_at FROM documents)),
 models_v(provider, model, k) AS (VALUES ('p0', 'm0', 0), ('p1', 'm1', 1), ('p2', 'm2', 2)),
 scores_v AS (
     SELECT d.doc_id AS article_id, provider, model, CAST((d.doc_id * 31 + 17 * k + n_chars) % 101 AS INTEGER) AS relevance_score, 'c' || (d.doc_id % 9) AS category, 's' || (d.doc_id % 4) AS signal,
@@ -108,4 +109,4 @@ analyses_v AS (
            CASE WHEN article_id % 4 = 0 THEN '' ELSE 'c' || (article_id % 7) END AS category, 'e' || (article_id % 11) AS entity,
            CASE WHEN article_id % 10 = 0 THEN '' ELSE 'impact ' || article_id END AS impact, 'Monitor only' AS suggested_action, '' AS model_raw,
            TIMESTAMP '2024-02-02' + to_seconds(article_id % 500) AS analyzed_at
-    FROM scores_v WHERE provider = 'p0' AND article_id % 2 = 0)"""
+    FROM scores_v WHERE provider = 'p0' AND relevance_score >= 50)"""

@@ -15,11 +15,16 @@ _ATOM = "title string, link array<struct<_href:string,_rel:string>>, published s
 
 def _read(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
     reader = spark.read.format("xml").option("rowTag", tag).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").schema(schema)
-    return reader.load(path).withColumn("_file", F.col("_metadata.file_name"))
+    return reader.load(path).withColumn("_file", F.col("_metadata.file_path"))
 
 
-def read_feed_items(spark: SparkSession, path: str, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(articles, rejected entries) of the feed files under ``path``; a file is named after its source (``<source>.xml``).
+#: The source in a file's path: the file's name, or a folder ``source=...``.
+BY_NAME, BY_FOLDER = r"([^/]+?)(?:\.[^./]*)?$", r"/source=([^/]+)/[^/]*$"
+
+
+def read_feed_items(spark: SparkSession, path: str, sources: DataFrame, source_in_path: str = BY_NAME) -> tuple[DataFrame, DataFrame]:
+    """(articles, rejected entries) of the feed files under ``path``; a file is named after its source (``<source>.xml``),
+    or ``source_in_path`` says where its path has it.
 
     Entries need a title and a url, and must pass their source's patterns.  The first date that parses counts; the
     summary is the feed's full text where the source prefers it and the feed has it.  Entries that cannot be parsed go
@@ -30,7 +35,7 @@ def read_feed_items(spark: SparkSession, path: str, sources: DataFrame) -> tuple
     atom = _read(spark, path, "entry", _ATOM)
     href = F.coalesce(F.get(F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), 0)["_href"], F.get("link", 0)["_href"])
     atom = atom.select("_file", "_corrupt", "title", href.alias("link"), parse_feed_date(F.col("published"), F.col("updated")).alias("published_at"), F.col("summary").alias("text"), F.col("content").alias("body"))
-    both = rss.unionByName(atom).withColumn("source", F.regexp_replace("_file", r"\.[^.]*$", ""))
+    both = rss.unionByName(atom).withColumn("source", F.regexp_extract("_file", source_in_path, 1))
     # Spark parses a record only if some column besides the corrupt one is asked for
     rejected = both.where("_corrupt IS NOT NULL AND length(coalesce(title, '')) >= 0").select("source", "_corrupt")
     rows = both.where("_corrupt IS NULL").withColumn("title", F.trim("title")).withColumn("url", F.trim("link")).where("title <> '' AND url <> ''")

@@ -188,8 +188,12 @@ def extract_page_metadata(pages: DataFrame) -> DataFrame:
 
 
 def fill_from_metadata(articles: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Missing dates and summaries from page metadata; the excerpt only together with the summary."""
-    out = articles.join(metadata, "url", "left")
+    """Missing dates and summaries from page metadata; the excerpt only together with the summary.
+
+    Of several rows of metadata for one url the first date and the first description count, so no article is repeated.
+    """
+    once = metadata.groupBy("url").agg(F.min("meta_published_at").alias("meta_published_at"), F.min("description").alias("description"))
+    out = articles.join(once, "url", "left")
     fills = F.nullif(F.coalesce("summary", F.lit("")), F.lit("")).isNull() & F.col("description").isNotNull()
     out = out.withColumn("raw_excerpt", F.when(fills, F.coalesce(filled("raw_excerpt"), F.substring("description", 1, EXCERPT_CHARS))).otherwise(F.col("raw_excerpt")))
     out = out.withColumn("summary", F.when(fills, F.substring("description", 1, SUMMARY_CHARS)).otherwise(F.col("summary")))

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from newsloom.functions.text import content_hash
 from newsloom.operators.gate import within_recency
 from newsloom.operators.inference import Infer, score
-from newsloom.operators.merge import insert_new_articles, upsert_scores
+from newsloom.operators.merge import insert_new_articles
 from newsloom.operators.rank import rank_for_scoring
 from newsloom.profiles import Profile
 
@@ -48,48 +48,53 @@ def source_counts_stream(items: DataFrame, time: str, source: str, delay: str =
     return source_counts(items.withWatermark(time, delay), time, source)
 
 
-class SnapshotTable:
-    """A table as numbered snapshot folders; a batch that runs again rewrites its own snapshot from the one before it."""
+def create_table(spark: SparkSession, path: str, schema: str) -> None:
+    """An empty table of appended batches (one folder for each), if there is none yet."""
+    spark.createDataFrame([], f"{schema}, batch long").write.mode("ignore").partitionBy("batch").parquet(path)
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
-    def _versions(self) -> list[int]:
-        files = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        folder = files.Path(self.path)
-        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return []
-        found = [s.getPath() for s in fs.listStatus(folder)]
-        return sorted(int(p.getName()[1:]) for p in found if p.getName().startswith("v") and fs.exists(files.Path(p, "_SUCCESS")))
+def read_table(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
+    """The rows of a table, less those of batch ``before`` and later ones."""
+    rows = spark.read.schema(f"{schema}, batch long").parquet(path)
+    return (rows if before is None else rows.where(F.col("batch") < before)).drop("batch")
 
-    def read(self, before: int | None = None) -> DataFrame:
-        versions = [v for v in self._versions() if before is None or v < before]
-        if not versions:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{versions[-1]:012d}")
 
-    def write(self, df: DataFrame, version: int) -> None:
-        names = self.spark.createDataFrame([], self.schema).columns
-        df.select(*names).write.mode("overwrite").parquet(f"{self.path}/v{version:012d}")
+def append_batch(rows: DataFrame, path: str, schema: str, batch: int) -> None:
+    """Write one batch; a batch that runs again replaces its own rows and no others."""
+    names = rows.sparkSession.createDataFrame([], schema).columns
+    rows.select(*names).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
 
 
-def ingest_stream(items: DataFrame, table: SnapshotTable, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Insert the stream's new articles, batch by batch, into a snapshot table; ends when all landed files are read."""
+def new_rows(rows: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
+    """The rows whose key the table lacks.
+
+    The table's keys (no other columns) meet the keys of this batch, and only those that it knows go on.
+    """
+    known = table.select(*key).join(rows.select(*key).distinct(), key, "left_semi").distinct()
+    return rows.join(known, key, "left_anti")
+
+
+def ingest_stream(items: DataFrame, path: str, schema: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Append the stream's new articles, batch by batch, to the table at ``path``; ends when all landed files are read.
+
+    Only new rows are written.  Articles that the table has (by content hash) and repeats inside a batch are left out.
+    """
     def merge(batch: DataFrame, number: int) -> None:
-        before = table.read(number)
-        ready = prepare(batch) if prepare else batch
-        fresh = insert_new_articles(before, ready).where("is_new").select(*before.columns)
-        table.write(before.unionByName(fresh), number)
+        before = read_table(batch.sparkSession, path, schema, number)
+        fresh = new_rows(prepare(batch) if prepare else batch, before, ["content_hash"])
+        append_batch(insert_new_articles(before.select("content_hash", "article_id").limit(0), fresh).where("is_new"), path, schema, number)
 
+    create_table(items.sparkSession, path, schema)
     return items.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def score_stream(articles: DataFrame, scores: SnapshotTable, infer: Infer, p: Profile, provider: str, model: str, as_of: str, checkpoint: str) -> StreamingQuery:
-    """Rank and score each batch of new articles and merge the scores by key; a repeated batch changes nothing."""
+def score_stream(articles: DataFrame, path: str, schema: str, infer: Infer, p: Profile, provider: str, model: str, as_of: str, checkpoint: str) -> StreamingQuery:
+    """Rank and score each batch of new articles and append the scores; a repeated batch changes nothing, and what has a
+    score by this model gets no other one."""
     def step(batch: DataFrame, number: int) -> None:
-        before = scores.read(number)
+        before = read_table(batch.sparkSession, path, schema, number)
         new, _ = score(rank_for_scoring(batch, p, as_of), before, infer, p, provider, model, as_of)
-        scores.write(upsert_scores(before, new.select(*before.columns)), number)
+        append_batch(new, path, schema, number)
 
+    create_table(articles.sparkSession, path, schema)
     return articles.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

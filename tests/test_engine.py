@@ -124,10 +124,14 @@ def test_streams_equal_batches(spark, sf_dir, tmp_path):
         items.coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
     stream = ingest.read_items(spark, str(tmp_path / "in/*"), items._jdf.schema().toDDL(), maxFilesPerTrigger="1")
     columns = "article_id bigint, " + items._jdf.schema().toDDL()
-    table = ingest.SnapshotTable(spark, str(tmp_path / "articles"), columns)
+    path = str(tmp_path / "articles")
     for _ in range(2):  # a second run finds nothing new
-        ingest.ingest_stream(stream, table, str(tmp_path / "ck")).awaitTermination()
-    assert table.read().count() == items.select("content_hash").distinct().count()
+        ingest.ingest_stream(stream, path, columns, str(tmp_path / "ck")).awaitTermination()
+    table = ingest.read_table(spark, path, columns)
+    assert table.count() == items.select("content_hash").distinct().count()
+    ingest.append_batch(table.limit(3), path, columns, 1)  # a batch that runs again replaces its own rows
+    ingest.append_batch(table.limit(0), path, columns, 1)
+    assert ingest.read_table(spark, path, columns).count() == items.select("content_hash").distinct().count()
 
     out = ingest.dedupe_stream(stream).select("content_hash").writeStream.format("memory").queryName("deduped").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck2")).start()
     out.awaitTermination()
@@ -142,8 +146,38 @@ def test_streams_equal_batches(spark, sf_dir, tmp_path):
     last = spark.table("counts").groupBy("day", "source").agg(F.max("n").alias("n"))
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, ingest.source_counts(items.union(items), "collected_at", "source").collect()))
 
-    scores = ingest.SnapshotTable(spark, str(tmp_path / "scores"), SCORES)
-    table.read().coalesce(1).write.parquet(str(tmp_path / "ready"))
+    table.coalesce(1).write.parquet(str(tmp_path / "ready"))
     ready = ingest.read_items(spark, str(tmp_path / "ready"), columns)
-    ingest.score_stream(ready, scores, inference.rule_based_infer, PROFILE, "p", "m", AS_OF, str(tmp_path / "ck5")).awaitTermination()
-    assert scores.read().count() == 25
+    ingest.score_stream(ready, str(tmp_path / "scores"), SCORES, inference.rule_based_infer, PROFILE, "p", "m", AS_OF, str(tmp_path / "ck5")).awaitTermination()
+    assert ingest.read_table(spark, str(tmp_path / "scores"), SCORES).count() == 25
+
+
+def test_repeated_keys_in_changes(spark, sf_dir):
+    """Changes that name a key twice give one row, whatever their order."""
+    items = scored.scored_articles(scores_v(spark, sf_dir), articles_v(spark, sf_dir)).where("provider = 'p0'").drop("category", "provider", "model").join(analyses_v(spark, sf_dir).drop("model_raw"), "article_id").limit(1)
+    twice = items.withColumn("impact", F.lit("late")).unionByName(items.withColumn("impact", F.lit("early")).withColumn("analyzed_at", F.col("analyzed_at") - F.expr("INTERVAL 1 DAY")))
+    (row,) = merge.merge_tracker(spark.createDataFrame([], TRACKER), twice.repartition(2), "2024-01-01").collect()
+    assert row["impact"] == "late"
+    first = spark.createDataFrame([row], TRACKER)
+    timed = spark.createDataFrame([(row["id"], "ann", None, 1), (row["id"], "bob", None, 2), (row["id"], None, "done", 1)], "id long, owner string, status string, acted_at int")
+    (changed,) = merge.apply_actions(first, timed, "2024-01-02")[0].collect()
+    assert (changed["owner"], changed["status"]) == ("bob", "done")
+    assert merge.apply_actions(first, timed.drop("acted_at"), "2024-01-02")[0].count() == 1
+    old = scores_v(spark, sf_dir).limit(1)
+    tied = [old.withColumn("category", F.lit(c)) for c in ("c8", "c9", "c0")]
+    got = merge.upsert_scores(old, tied[0].union(tied[1]).union(tied[2]).repartition(3)).collect()
+    assert len(got) == 1 and got[0]["category"] == "c9"
+
+
+def test_the_model_is_called_once(spark, tmp_path):
+    calls = tmp_path / "calls"
+
+    def infer(prompts):
+        with open(calls, "a") as f:
+            f.write("x" * len(prompts))
+        return inference.rule_based_infer(prompts)
+
+    rows = [(k, "s", f"title {k}", "u", "", None, None, datetime(2024, 1, 1)) for k in range(5)]
+    arts = spark.createDataFrame(rows, "article_id long, source string, title string, url string, summary string, raw_excerpt string, published_at timestamp, collected_at timestamp")
+    good, bad = inference.score(arts, spark.createDataFrame([], "article_id long, provider string, model string"), infer, PROFILE, "p", "m", AS_OF, 1)
+    assert good.count() == 5 and good.count() == 5 and bad.count() == 0 and calls.read_text() == "xxxxx"

@@ -71,6 +71,8 @@ def test_metadata_fills_only_gaps(spark):
     assert {r["url"]: (r["meta_published_at"], r["description"]) for r in meta.collect()} == {"u1": (datetime(2024, 5, 6, 5, 8, 9), "About it"), "u2": (None, None), "u3": (datetime(2024, 1, 2), None)}
     arts = spark.createDataFrame([("u1", None, "", ""), ("u1", datetime(2023, 1, 1), "kept", "e"), ("u9", None, None, None)], "url string, published_at timestamp, summary string, raw_excerpt string")
     got = sorted((r["summary"] or "", r["raw_excerpt"] or "", str(r["published_at"])) for r in fill_from_metadata(arts, meta).collect())
+    twice = fill_from_metadata(arts, meta.union(spark.createDataFrame([("u1", datetime(2030, 1, 1), "zz")], meta.schema))).collect()
+    assert len(twice) == 3 and {r["summary"] for r in twice if r["url"] == "u1"} == {"About it", "kept"}
     assert got == [("", "", "None"), ("About it", "About it", "2024-05-06 05:08:09"), ("kept", "e", "2023-01-01 00:00:00")]
 
 
