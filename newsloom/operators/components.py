@@ -64,7 +64,8 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str = "n",
 
     Rows of keys that are there more than ``hot`` times are not shuffled: their keys are few, and are broadcast.
     """
-    often = table.where(F.col(count) > hot).drop(count).checkpoint()
+    table = table.checkpoint()
+    often = table.where(F.col(count) > hot).drop(count)
     if not 0 < often.count() <= MOST_BROADCAST:
         return rows.join(table.drop(count), key)
     rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(table.where(F.col(count) <= hot).drop(count), key)

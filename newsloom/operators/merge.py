@@ -109,7 +109,7 @@ def evolve_scores(old: DataFrame, columns: list[str], former: dict[str, str] | N
     has, former, constants = set(old.columns), former or {}, {"provider": provider, "model": model}
 
     def filled_from(name: str) -> Column:
-        found = [F.col(c) for c in (name, former.get(name)) if c in has] + [F.lit(constants[name])] * (name in constants)
+        found = [F.col(c) for c in (name, former.get(name)) if c in has] + [F.lit(v) for k, v in constants.items() if k == name]
         return F.coalesce(*found) if found else F.lit(None).cast("string")
 
     return old.select(*(filled_from(c).alias(c) for c in columns))

@@ -615,13 +615,6 @@ def score_stage(spark, sf_dir):
     return new.select("article_id", "relevance_score", "provider")
 
 
-@query()
-def analysis_stage(spark, sf_dir):
-    lineage = {"scoring_provider": "p0", "scoring_model": "m0", "analysis_provider": "a0", "analysis_model": "b0"}
-    items = scored_v(spark, sf_dir).where("provider = 'p0'")
-    return inference.analyze(items, inference.rule_based_infer, PROFILE, lineage, NOW, ["source"], "article_id").select("article_id", "category", "entity", "impact", "suggested_action")
-
-
 def _block(number: str) -> str:
     return f"""'### ' || {number} || '. ' || title || chr(10) || '- **Source:** ' || label || ' | **Signal:** ' || sig || ' | **Relevance:** ' || rel || chr(10) || CASE WHEN take <> '' THEN '- ' || take || chr(10) ELSE '' END || '- **Date:** ' || shown || ' | [Read more](' || url || ')' || chr(10)"""
 

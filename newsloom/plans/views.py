@@ -41,8 +41,11 @@ PROFILE = Profile(
 
 
 def articles_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles_of(read_table(spark, sf_dir, "documents"))
+
+
+def articles_of(d: DataFrame) -> DataFrame:
     """Documents as articles: the start of the first line is the title, the whole text the summary."""
-    d = read_table(spark, sf_dir, "documents")
     published = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=F.pmod(F.col("doc_id") * 37, F.lit(43200)).cast("int"))
     out = d.select(
         F.col("doc_id").alias("article_id"), "source",

@@ -19,7 +19,7 @@ def _read(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
 
 
 #: The source in a file's path: the file's name, or a folder ``source=...``.
-BY_NAME, BY_FOLDER = r"([^/]+?)(?:\.[^./]*)?$", r"/source=([^/]+)/[^/]*$"
+BY_NAME, BY_FOLDER = r"([^/]+?)(?:\.[^./]*)?$", r"/source=([^/]+)/"
 
 
 def read_feed_items(spark: SparkSession, path: str, sources: DataFrame, source_in_path: str = BY_NAME) -> tuple[DataFrame, DataFrame]:
