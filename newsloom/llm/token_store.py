@@ -32,9 +32,9 @@ from newsloom.tables import fresh_dir
 
 MAGIC = b"PLNIDS01"
 #: Ids in a chunk, ids above which a task goes on in the next file, and bytes of text encoded at once.
-CHUNK_IDS, FILE_IDS, BATCH_BYTES = 1 << 16, 1 << 24, 8 << 20
+CHUNK_IDS, FILE_IDS, BATCH_BYTES = 1 << 16, 1 << 24, 4 << 20
 #: Pieces that a worker's memo keeps, and the longest of them (characters).
-MEMO_SIZE, MEMO_CHARS = 500_000, 48
+MEMO_SIZE, MEMO_CHARS = 300_000, 48
 
 
 # ---- the file format ----------------------------------------------------------------------------------------------
@@ -65,18 +65,40 @@ def from_planes(planes: list[bytes], n: int) -> np.ndarray:
     return np.ascontiguousarray(octets).view("<u4").ravel()
 
 
+class ShardWriter:
+    """Takes the ids of a shard bit by bit; full chunks are compressed at once, so that few ids are held."""
+
+    def __init__(self, kind: str = "byte"):
+        self.kind, self.press = kind, zstandard.ZstdCompressor(level=3)
+        self.parts, self.chunks, self.at = [MAGIC], [], len(MAGIC)
+        self.rest = np.zeros(0, dtype="<u4")
+
+    def _chunk(self, ids: np.ndarray) -> None:
+        planes = [self.press.compress(p) if p.count(0) < len(p) else b"" for p in to_planes(ids, self.kind)]
+        self.chunks.append([self.at, len(ids), [len(p) for p in planes]])
+        self.parts += planes
+        self.at += sum(map(len, planes))
+
+    def add(self, ids: np.ndarray) -> None:
+        ids = np.concatenate([self.rest, ids])
+        full = len(ids) - len(ids) % CHUNK_IDS
+        for begin in range(0, full, CHUNK_IDS):
+            self._chunk(ids[begin : begin + CHUNK_IDS])
+        self.rest = ids[full:].copy()
+
+    def finish(self, doc_ids: list[int | None], lengths: list[int]) -> bytes:
+        """The bytes of the shard file."""
+        if len(self.rest):
+            self._chunk(self.rest)
+        index = self.press.compress(json.dumps({"chunks": self.chunks, "docs": doc_ids, "lengths": lengths}).encode())
+        return b"".join([*self.parts, index, struct.pack("<Q", len(index)), MAGIC])
+
+
 def encode_shard(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], kind: str = "byte") -> bytes:
     """The bytes of one shard file."""
-    press = zstandard.ZstdCompressor(level=3)
-    parts, chunks, at = [MAGIC], [], len(MAGIC)
-    for begin in range(0, len(ids), CHUNK_IDS):
-        block = ids[begin : begin + CHUNK_IDS]
-        planes = [press.compress(p) if any(p) else b"" for p in to_planes(block, kind)]
-        chunks.append([at, len(block), [len(p) for p in planes]])
-        parts += planes
-        at += sum(map(len, planes))
-    index = press.compress(json.dumps({"chunks": chunks, "docs": doc_ids, "lengths": lengths}).encode())
-    return b"".join([*parts, index, struct.pack("<Q", len(index)), MAGIC])
+    writer = ShardWriter(kind)
+    writer.add(ids)
+    return writer.finish(doc_ids, lengths)
 
 
 def decode_index(data: bytes) -> dict:
@@ -264,7 +286,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, out_dir: str | None = None,
         store, folder = fs.FileSystem.from_uri(out_dir)
         store.create_dir(folder, recursive=True)
         encode, task = encoder(tokenizer_path), TaskContext.get().partitionId()
-        held: list[np.ndarray] = []
+        held = ShardWriter(planes)
         ids: list[pa.Array] = []
         sizes: list[np.ndarray] = []
         total, part = 0, 0
@@ -272,7 +294,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, out_dir: str | None = None,
         def flush() -> pa.RecordBatch:
             name = f"shard-{task:06d}-{part:04d}.ids"
             lengths = np.concatenate(sizes).tolist()
-            data = encode_shard(np.concatenate(held), pa.concat_arrays(ids).to_pylist(), lengths, planes)
+            data = held.finish(pa.concat_arrays(ids).to_pylist(), lengths)
             own = f"{folder}/.{name}.{uuid.uuid4().hex}"
             with store.open_output_stream(own) as f:
                 f.write(data)
@@ -294,13 +316,13 @@ def write_ids(docs: DataFrame, tokenizer_path: str, out_dir: str | None = None,
                 inside[np.cumsum(lengths) - 1] = False
                 with_ends[inside] = found
                 with_ends[~inside] = end_id
-                held.append(with_ends)
-                ids.append(batch.column(0).slice(begin, end - begin))
+                held.add(with_ends)
+                ids.append(pa.concat_arrays([batch.column(0).slice(begin, end - begin)]))
                 sizes.append(lengths)
                 total += len(with_ends)
                 if total >= FILE_IDS:
                     yield flush()
-                    held, ids, sizes, total, part = [], [], [], 0, part + 1
+                    held, ids, sizes, total, part = ShardWriter(planes), [], [], 0, part + 1
         if ids:
             yield flush()
 
