@@ -3,7 +3,8 @@
 Numbers that pass their format's check (card numbers by Luhn, phone numbers by their grouping, IPv4 addresses by their
 octets, social security numbers by their ranges) and dates that exist are replaced by a keyed permutation of the
 format's own values, so that a pseudonym is valid again, equal values get equal pseudonyms in every document, and no
-two values share one.  Mail addresses (their local part) and credentials are permuted letter by letter within their
+two valid values of one format share one.  What has no check to pass is left alone: numbers of other countries, IBAN,
+IPv6, octets with leading zeros.  Mail addresses (their local part) and credentials are permuted letter by letter within their
 alphabets in the same way.
 
 A numeric format is a pair of integers (a in [0, M), b in [0, N)).  Each round adds a keyed hash of one half to the
@@ -13,14 +14,14 @@ and N, with nothing to store and nothing to shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rounds of each half, and the key of tests and examples; production passes its own secret.
+#: Rounds of each half, and the key of tests and examples; production passes its own secret as a column.
 ROUNDS, DEFAULT_KEY = 6, "newsloom"
 
 # The formats' patterns.  Java syntax; each alternative is one kind.
-MAIL = r"[A-Za-z0-9._%+-]*[A-Za-z0-9]@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}"
+MAIL = r"[\p{L}0-9._%+-]*[\p{L}0-9]@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}"
 CARD = r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d-]|\.\d)"
 PHONE = r"(?<![\w+])(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?![\d-])"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
@@ -118,7 +119,7 @@ def _ssn(key: str, x: str) -> str:
 def _ip(key: str, x: str) -> str:
     o = lambda k: f"int(split({x}, '[.]')[{k}])"
     out = "concat_ws('.', cast(p.a DIV 256 AS string), cast(p.a % 256 AS string), cast(p.b DIV 256 AS string), cast(p.b % 256 AS string))"
-    return f"CASE WHEN forall(split({x}, '[.]'), o -> int(o) <= 255) THEN {feistel(key, 'ip', f'({o(0)} * 256 + {o(1)})', f'({o(2)} * 256 + {o(3)})', 65536, 65536, out)} ELSE {x} END"
+    return f"CASE WHEN forall(split({x}, '[.]'), o -> int(o) <= 255 AND (o = '0' OR left(o, 1) <> '0')) THEN {feistel(key, 'ip', f'({o(0)} * 256 + {o(1)})', f'({o(2)} * 256 + {o(3)})', 65536, 65536, out)} ELSE {x} END"
 
 
 def _date(key: str, x: str) -> str:
@@ -156,18 +157,19 @@ def pseudonym(x: str, key: str) -> str:
         ELSE {_card(key, x)} END"""
 
 
-def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str | Column = DEFAULT_KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, text with pseudonyms, n_replaced (values that changed).
 
     A narrow stage inside the JVM: no shuffle, no Python, one pass over each whole text.  The same key gives the same
-    pseudonyms in every run; without the key they cannot be led back.
+    pseudonyms in every run; without the key they cannot be led back.  A key that is a string shows in query plans and
+    event logs; production passes a column, such as ``secrets.select("key").scalar()``, which only shows where it is read.
 
     Null text stays null with 0 replaced; empty text and text without personal data stay as they are; null and repeated
     ids are kept row for row; other columns are not read; an empty table gives no rows.
     """
-    secret = _quote(key)
+    secret = "_secret"
     text, pattern = f"`{text_col}`", _quote(PATTERN)
-    rows = docs.select(F.col(id_col), F.expr(text).alias("_text"), F.expr(f"CASE WHEN {text} RLIKE {_quote(HINT)} THEN regexp_extract_all({text}, {pattern}, 0) ELSE array() END").alias("_found"))
+    rows = docs.select(F.col(id_col), F.expr(text).alias("_text"), (key if isinstance(key, Column) else F.lit(key)).alias("_secret"), F.expr(f"CASE WHEN {text} RLIKE {_quote(HINT)} THEN regexp_extract_all({text}, {pattern}, 0) ELSE array() END").alias("_found"))
     rows = rows.withColumn("_new", F.expr(f"CASE WHEN size(_found) > 0 THEN transform(_found, x -> {pseudonym('x', secret)}) ELSE _found END"))
     # the pieces between the matches, from the same pattern; one more than there are matches
     joined = f"CASE WHEN size(_found) > 0 THEN array_join(flatten(zip_with(split(_text, {pattern}), _new, (gap, new) -> array(gap, coalesce(new, '')))), '') ELSE _text END"

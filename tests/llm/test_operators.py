@@ -602,3 +602,16 @@ def test_equal_fingerprints_are_compared():
     small = np.zeros(3, np.uint8)
     order, first, repeat = suffix_dedup.collapse(texts, np.arange(3), zero, zero, np.arange(3), zero, np.zeros(3, np.int64), small, small)
     assert order.tolist() == [0, 1, 2] and first.tolist() == [True, True, False] and repeat.tolist() == [False, False, True]
+
+
+def test_pseudonym_keys_and_edges(spark):
+    """A key from a table gives what the same string gives and is in no plan; values without a valid format stay."""
+    texts = ["ip 01.2.3.4 and 1.2.3.4", "mail müller@x.de", "card 4111 1111 1111 1111"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys = spark.createDataFrame([("a very secret key",)], "key string")
+    hidden = pii.pseudonymise(df, keys.select("key").scalar())
+    got = {r["doc_id"]: r["text"] for r in hidden.collect()}
+    assert got == {r["doc_id"]: r["text"] for r in pii.pseudonymise(df, "a very secret key").collect()}
+    assert "01.2.3.4" in got[0] and "and 1.2.3.4" not in got[0]
+    local = got[1].split(" ")[1].split("@")[0]
+    assert local[1] == "ü" and local[0] + local[2:] != "mller" and len(local) == 6 and got[2] != texts[2]
