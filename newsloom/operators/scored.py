@@ -134,8 +134,12 @@ def attach_section(items: DataFrame, sections: DataFrame, category_map: DataFram
 
 
 def pivot_models(scored: DataFrame, models: list[tuple[str, str]]) -> DataFrame:
-    """One row for each article that any of the models scored, with each model's score, signal, confidence, summary."""
+    """One row for each article that any of the models scored, with each model's score, signal, confidence, summary.
+
+    Of several rows of one article and model the latest by scored_at counts (where rows have it), then the greatest.
+    """
+    late = F.col("scored_at") if "scored_at" in scored.columns else F.lit(None).cast("timestamp")
     keyed = scored.withColumn("_m", F.concat_ws("__", "provider", "model"))
     names = [f"{p}__{m}" for p, m in models]
     parts = {"score": "relevance_score", "signal": "signal", "confidence": "confidence", "summary": "summary"}
-    return keyed.where(F.col("_m").isin(*names)).groupBy("article_id", "title", "url").pivot("_m", names).agg(*(F.first(c).alias(n) for n, c in parts.items()))
+    return keyed.where(F.col("_m").isin(*names)).groupBy("article_id", "title", "url").pivot("_m", names).agg(*(F.max_by(F.col(c), F.struct(late, F.col("relevance_score"), F.col(c))).alias(n) for n, c in parts.items()))

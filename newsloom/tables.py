@@ -13,12 +13,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, and where that is
-    unset (local tests) a folder in the working directory's ``spark-warehouse``."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir.  Where that is unset a local session
+    takes a folder in its warehouse; on a cluster that is an error, since a local folder would be one machine's own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    return found
+    if found:
+        return found
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
