@@ -3,10 +3,10 @@
 Each document of a source should be taken target / source size times.  The whole part is certain; the fraction is
 rounded by the pivotal method: two documents with fractional copies exchange mass (words), in a random direction that
 keeps both expectations, until one of them is integral; the other goes on to the next.  The words of a pair stay what
-they were, so a source ends within one document of its target; a chunk goes from its largest documents to its smallest,
+they were, so a source ends within half a document of its target; a chunk goes from its largest documents to its smallest,
 so the document that is left over tends to be small.  Pairs are met in a reduction tree: documents fall by
 hash into chunks of about FAN_IN, a chunk folds to one document that is still fractional, and these fold again, level
-by level, until one is left for each source, which is settled by a last draw.  All draws are hashes of ids.
+by level, until one is left for each source, which goes to its nearer side.  All draws are hashes of ids.
 """
 
 from __future__ import annotations
@@ -107,7 +107,7 @@ def rounded_copies(sized: DataFrame, id_type: str, seed: int = SEED, fan_in: int
         level, most = level + 1, -(-most // fan_in)
         per = carried.groupBy(F.col("source").alias("_source")).agg(F.count("*").alias("_n"))
         now = carried.join(per, at_source).select("source", "id", "w", "m", chunk(F.col("_n"), level).alias("chunk"))
-    final = carried.select("source", "id", F.expr(f"{_draw(str(seed), '-1', 'id')} * w < m").alias("up"))
+    final = carried.select("source", "id", F.expr("2 * m >= w").alias("up"))
     decided = decided.unionByName(final).withColumnsRenamed({"source": "_source", "id": "_id"})
     out = parted.join(decided, at_source & F.col("id").eqNullSafe(F.col("_id")), "left")
     return out.select("source", "id", "source_size", "target", (F.col("whole") + F.coalesce(F.col("up").cast("long"), F.lit(0))).alias("copies"))

@@ -39,3 +39,20 @@ def test_pipeline_stages(spark, sf_dir):
     assert mixed.columns == docs.columns
     out = ids(spark, mixed, sf_dir)
     assert out.count() == mixed.count() == corpus_pipeline.run(spark, sf_dir).count()
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    """Null ids, texts and sources, repeated rows, clashing columns, labels of nothing; and tables without rows."""
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(80))
+    rows = [(1, text(1), "en", "a"), (1, text(1), "en", "a"), (1, text(2), "en", None), (None, text(3), None, None), (None, text(3), None, None), (None, None, None, None), (4, "", "en", "a"), (5, text(5), "en", "b"), (6, text(6) + " " + text(7), "en", "b")]
+    docs = spark.createDataFrame([(*r, "own", "own") for r in rows], "doc_id long, text string, lang string, source string, _key string, start string")
+    labels = spark.createDataFrame([(None, None), (1, 1), (77, 0)], "doc_id long, quality int")
+    bench = spark.createDataFrame([(1, text(7)), (None, None)], "item_id long, text string")
+    for name, cut in (("odd", 100), ("empty", 0)):
+        for table, df in (("documents", docs), ("labels", labels), ("benchmark", bench)):
+            df.limit(cut).coalesce(1).write.parquet(str(tmp_path / name / f"{table}.parquet"))
+        got = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert (len(got) > 0) == (cut > 0)
+        if cut:
+            # one row of each group stays; the contaminated one goes; shares take each of the rest twice at most
+            assert {r["doc_id"] for r in got} <= {None, 1, 5} and all(r["n_tokens"] > 80 for r in got)
