@@ -62,11 +62,12 @@ def _small_star(links: DataFrame) -> DataFrame:
 def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str = "n", hot: int = HOT) -> DataFrame:
     """The rows with their key's row of ``table``, less its column ``count``, which says how often the key is in rows.
 
-    Rows of keys that are there more than ``hot`` times are not shuffled: their keys are few, and are broadcast.
+    Rows of keys that are there more than ``hot`` times are not shuffled: their keys are few, and are broadcast.  The
+    table is read more than once; a costly one should be written first.
     """
-    table = table.checkpoint()
     often = table.where(F.col(count) > hot).drop(count)
     if not 0 < often.count() <= MOST_BROADCAST:
         return rows.join(table.drop(count), key)
+    often = often.checkpoint()
     rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(table.where(F.col(count) <= hot).drop(count), key)
     return rows.join(F.broadcast(often), key).unionByName(rest)
