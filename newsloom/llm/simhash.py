@@ -204,7 +204,7 @@ def _grouped(docs: DataFrame, radius: int, id_col: str, text_col: str, *more: st
     # unrelated texts can have one id
     nodes = prints.groupBy("fp").agg(F.coalesce(F.min(id_col).cast("long"), F.lit(NAMELESS)).alias("own"), F.count("*").alias("n")).checkpoint()
     least = connected_components(links(nodes.drop("n"), radius), "src", "dst")
-    of_print = nodes.select("fp", "n", F.struct("own", "fp").alias("own")).join(least, F.col("own") == F.col("node"), "left").select("fp", "n", F.coalesce("component", "own").alias("_group"))
+    of_print = nodes.select("fp", "n", F.struct("own", "fp").alias("own")).join(least, F.col("own") == F.col("node"), "left").select("fp", "n", F.coalesce("component", "own").alias("_group")).checkpoint()
     component_id = F.when(F.col("_group.own") < NAMELESS, F.col("_group.own")).alias("component_id")
     return join_counted(prints, of_print, "fp", hot=HOT_COPIES).select(id_col, "fp", *more, component_id, F.col("_group").alias("group"))
 
