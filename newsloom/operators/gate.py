@@ -123,7 +123,9 @@ def annotate(articles: DataFrame, p: Profile) -> DataFrame:
 
 def gated(articles: DataFrame, p: Profile) -> DataFrame:
     """Annotated rows less those of noisy sources that miss the gate; a miss elsewhere only costs priority."""
-    return annotate(articles, p).where("prefilter_hit OR NOT is_noisy")
+    # the verdict passes a generator: Spark would push a plain filter below the hits and evaluate all of them again in it
+    verdict = F.explode_outer(F.array(F.col("prefilter_hit") | ~F.col("is_noisy")))
+    return annotate(articles, p).withColumn("_kept", verdict).where("_kept").drop("_kept")
 
 
 def _entity_rule(lower: Column, source: Column, rule: EntityRule) -> Column:
