@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontaminate, html_extract, mixing, pii, quality, sentence_pieces, simhash, suffix_dedup, token_counts, token_store, url_filter
+from newsloom.llm import decontaminate, html_extract, mixing, pii, quality, sentence_pieces, simhash, suffix_dedup, token_counts, token_store, url_filter, whitening
 from newsloom.tables import read_table
 
 
@@ -75,7 +75,11 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "as_library")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pii_pseudonyms, op3_url_filter, op4_token_ids, op5_quality_rules, op6_simhash, op7_decontaminate, op8_suffix_dedup, op9_mix_sources, op10_html_text, op11_sentencepiece)}
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pii_pseudonyms, op3_url_filter, op4_token_ids, op5_quality_rules, op6_simhash, op7_decontaminate, op8_suffix_dedup, op9_mix_sources, op10_html_text, op11_sentencepiece, op12_whitening)}
 
 _OP7 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
