@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontaminate, html_extract, mixing, pii, quality, sentence_pieces, simhash, suffix_dedup, token_counts, token_store, url_filter, whitening
+from newsloom.llm import alignment, decontaminate, html_extract, mixing, pii, quality, sentence_pieces, simhash, suffix_dedup, token_counts, token_store, url_filter, whitening
 from newsloom.tables import read_table
 
 
@@ -79,7 +79,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pii_pseudonyms, op3_url_filter, op4_token_ids, op5_quality_rules, op6_simhash, op7_decontaminate, op8_suffix_dedup, op9_mix_sources, op10_html_text, op11_sentencepiece, op12_whitening)}
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pii_pseudonyms, op3_url_filter, op4_token_ids, op5_quality_rules, op6_simhash, op7_decontaminate, op8_suffix_dedup, op9_mix_sources, op10_html_text, op11_sentencepiece, op12_whitening, op13_alignment)}
 
 _OP7 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
