@@ -2,8 +2,9 @@
 
 A pre-token's symbols are its characters.  An agenda holds every pair of neighbours that is a piece, the best score first
 and the leftmost among equals; taking a pair merges it and offers the two pairs that the new symbol makes.  What is left
-are the pieces; characters that are none become byte pieces.  Decoding goes the other way.  Both can be checked against
-the sentencepiece library, batch by batch.
+are the pieces; characters that are none become byte pieces.  Decoding goes the other way.  Both are checked against the
+sentencepiece library, batch by batch: the ids of each pre-token that a worker meets for the first time, and the text
+that each row's ids decode to.
 
 Pre-tokens are runs of word-start marks with what follows them.  Where some piece crosses such a border, or a line end,
 the whole text is one sequence.  Pre-tokens repeat, so a bounded memo keeps the ids of short ones for the life of a
@@ -35,10 +36,11 @@ class PieceCodec:
     """Ids of texts and texts of ids for one .model file.
 
     Takes merge-type models with identity normalisation that keep all white space (blanks become word-start marks), with
-    or without byte fallback and the mark before the text; raises ValueError for others.
+    or without byte fallback and the mark before the text; raises ValueError for others.  With ``check``, ``unlike``
+    collects the pre-tokens for which the library gives other ids.
     """
 
-    def __init__(self, model_path: str):
+    def __init__(self, model_path: str, check: bool = False):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as layout
 
@@ -66,6 +68,7 @@ class PieceCodec:
         self.is_byte = np.array([p.type == kind.BYTE for p in proto.pieces])
         self.is_control = np.array([p.type == kind.CONTROL for p in proto.pieces])
         self.marked = np.array([p.type == kind.NORMAL and p.piece.startswith(SPACE) for p in proto.pieces])
+        self.check, self.unlike = check, set()
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -146,6 +149,7 @@ class PieceCodec:
         if len(self.memo) > MEMO_SIZE:  # what is still in use moves to the new generation
             self.memo, self.older = {}, self.memo
         memo, older = self.memo, self.older
+        fresh: dict[str, bytes] = {}
         head, tail = (np.array([i] * ends, dtype="<u4").tobytes() for i in (self.begin, self.end))
         out = []
         for text in texts:
@@ -154,15 +158,29 @@ class PieceCodec:
             if None in parts:
                 for k, (w, p) in enumerate(zip(words, parts, strict=True)):
                     if p is None:
-                        p = memo.get(w) or older.get(w)
+                        p = memo.get(w) or older.get(w) or fresh.get(w)
                         if p is None:
-                            p = np.array(self.word_ids(w), dtype="<u4").tobytes()
+                            p = fresh[w] = np.array(self.word_ids(w), dtype="<u4").tobytes()
                         if len(w) <= MEMO_CHARS:
                             memo[w] = p
                         parts[k] = p
             out.append(np.frombuffer(b"".join([head, *parts, tail]), dtype="<u4"))
+        if self.check and fresh:
+            self.compare(fresh)
         return out
 
+    def compare(self, words: dict[str, bytes]) -> None:
+        """Holds the ids of pre-tokens against the library's, which gets each after a line end (no piece has one)."""
+        lead = "" if self.whole else "\n"
+        head = len(self.library.encode(lead))
+        for w, found in zip(words, self.library.encode([lead + w.replace(SPACE, " ") if lead else w[int(self.prefix) :] for w in words], num_threads=1), strict=True):
+            if np.array(found[head:], dtype="<u4").tobytes() != words[w]:
+                self.unlike.add(w)
+
+    def as_library(self, text: str) -> bool:
+        """Whether the library has agreed on all of the text's pre-tokens."""
+        return not self.unlike or self.unlike.isdisjoint(self.pre_tokens(text))
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: marks become blanks, the one before the text goes, byte pieces make UTF-8 (U+FFFD for each
         byte that makes none), begin and end ids say nothing."""
@@ -198,14 +216,14 @@ def _mended(data: bytes) -> str:
     return "".join(out)
 
 
-_codecs: dict[str, PieceCodec] = {}
+_codecs: dict[tuple[str, bool], PieceCodec] = {}
 
 
-def codec(model_path: str) -> PieceCodec:
+def codec(model_path: str, check: bool = False) -> PieceCodec:
     """The codec of a vocabulary file, made once for each Python worker."""
-    if model_path not in _codecs:
-        _codecs[model_path] = PieceCodec(model_path)
-    return _codecs[model_path]
+    if (model_path, check) not in _codecs:
+        _codecs[model_path, check] = PieceCodec(model_path, check)
+    return _codecs[model_path, check]
 
 
 def text_batches(batch: pa.RecordBatch, column: int = 1, most: int = BATCH_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -224,8 +242,8 @@ def encode_texts(docs: DataFrame, model_path: str, ends: bool = True, decoded: b
     """One row for each row of ``docs``: id, ids (array of int; ``packed``: binary, little-endian unsigned 32-bit integers);
     ``decoded`` adds the text that the ids decode to.
 
-    ``check`` adds as_library: whether the library gives the same ids (and decodes them to the same text).  The check
-    reports, it replaces nothing.  A narrow stage: no shuffle, memory bounded by a batch of texts and the memo.
+    ``check`` adds as_library: whether the library gives the same ids for all pre-tokens of the text (each is compared
+    when a worker first meets it) and decodes the ids to the same text.  The check reports, it replaces nothing.  A narrow stage: no shuffle, memory bounded by a batch of texts and the memo.
 
     Null text counts as empty (only begin and end ids, decoding to an empty text); null and repeated ids stay, row for
     row; an empty table gives no rows; texts of any length are encoded whole.  Other columns of ``docs`` are not read, so
@@ -235,7 +253,7 @@ def encode_texts(docs: DataFrame, model_path: str, ends: bool = True, decoded: b
     columns = [f"`{id_col}` {kind}", f"ids {'binary' if packed else 'array<int>'}", *["decoded string"] * decoded, *["as_library boolean"] * check]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model_path)
+        own = codec(model_path, check)
         for batch in batches:
             for part, texts in text_batches(batch):
                 ids = own.encode(texts, ends)
@@ -244,15 +262,12 @@ def encode_texts(docs: DataFrame, model_path: str, ends: bool = True, decoded: b
                 else:
                     offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                     out = {id_col: part.column(0), "ids": pa.ListArray.from_arrays(offsets, np.concatenate(ids).astype(np.int32))}
-                same: list[bool] = []
-                if check:
-                    found = own.library.encode(texts, add_bos=ends, add_eos=ends, num_threads=1)
-                    same = [len(a) == len(b) and bool((a == np.array(b, dtype=np.int64)).all()) for a, b in zip(ids, found, strict=True)]
+                same = list(map(own.as_library, texts)) if check else []
                 if decoded:
                     back = list(map(own.decode, ids))
                     out["decoded"] = pa.array(back, pa.string())
                     if check:
-                        same = [s and a == b for s, a, b in zip(same, back, own.library.decode(found, num_threads=1), strict=True)]
+                        same = [s and a == b for s, a, b in zip(same, back, own.library.decode([i.tolist() for i in ids], num_threads=1), strict=True)]
                 if check:
                     out["as_library"] = pa.array(same, pa.bool_())
                 yield pa.RecordBatch.from_pydict(out)

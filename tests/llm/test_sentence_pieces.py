@@ -56,6 +56,15 @@ def test_memo_turns_over(codec, monkeypatch):
     assert len(own.memo) <= 90
 
 
+def test_check_reports_other_ids(monkeypatch):
+    """A codec whose agenda goes wrong for one word says so, for texts with that word only."""
+    own = PieceCodec(MODEL, check=True)
+    monkeypatch.setattr(own, "word_ids", lambda w, plain=own.word_ids: plain(w)[::-1] if w == "▁wrongly" else plain(w))
+    texts = ["all is well\n\nhere  ▁ x", "rightly or wrongly", "", " ", "\0 é 中"]
+    own.encode(texts)
+    assert own.unlike == {"▁wrongly"} and [own.as_library(t) for t in texts] == [True, False, True, True, True]
+
+
 def test_operators(spark):
     """Null and empty texts, repeated and null ids, clashing columns, an empty table; arrays, packed ids and decoding."""
     rows = [(1, None, "x"), (1, None, "x"), (None, "", "x"), (3, "Hello  world\n▁ 中🙂", "x"), (4, "word " * 20000, "x")]
