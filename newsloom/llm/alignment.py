@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from newsloom.llm.sentence_pieces import PieceCodec, text_batches
 from newsloom.tables import fresh_dir
 
-#: Chunks in each of two generations of a worker's memo, the longest that is kept and characters of a block.
-MEMO_SIZE, MEMO_CHARS, BLOCK_CHARS = 200_000, 48, 8 << 20
+#: Chunks in each of two generations of a worker's memo, the longest that is kept, characters of chunks that are aligned
+#: at once, and characters of a block.
+MEMO_SIZE, MEMO_CHARS, ALIGN_CHARS, BLOCK_CHARS = 100_000, 48, 1 << 18, 4 << 20
 
 
 def coalesce(a_sizes: np.ndarray, b_sizes: np.ndarray, a_text: np.ndarray, b_text: np.ndarray, overlaps: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -112,7 +113,7 @@ class Aligner:
         """(tokens of A, tokens of B, groups, links as packed pairs, groups as text) of chunks, each taken with a blank
         before it; None where the bytes of a side are not the chunk's own."""
         a_ids = [e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
-        b_ids = [x.tolist() for x in self.b.encode(words, ends=False)]
+        b_ids = [[i for p in self.b.pre_tokens(w) for i in self.b.word_ids(p)] for w in words]
         fit = []
         for w, a, b in zip(words, a_ids, b_ids, strict=True):
             data = (" " + w).encode()
@@ -158,8 +159,9 @@ class Aligner:
             else:
                 listed.append(w)
         if listed:
-            for w, found in zip(listed, self.aligned(listed), strict=True):
-                (memo if len(w) <= MEMO_CHARS else fresh)[w] = found
+            for part in _parts(listed):
+                for w, found in zip(part, self.aligned(part), strict=True):
+                    (memo if len(w) <= MEMO_CHARS else fresh)[w] = found
         out = []
         for words in split:
             parts = [memo[w] if w in memo else fresh[w] for w in words]
@@ -171,6 +173,19 @@ class Aligner:
         return out
 
 
+def _parts(words: list[str]) -> Iterator[list[str]]:
+    """The chunks in lists of about ALIGN_CHARS characters."""
+    part, size = [], 0
+    for w in words:
+        part.append(w)
+        size += len(w) + 1
+        if size >= ALIGN_CHARS:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def _byte_letters() -> list[str]:
     """The character that stands for each byte in byte-level vocabularies: printable Latin-1 as such, others from U+0100."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
