@@ -204,18 +204,23 @@ def aligner(byte_level: str, pieces: str, overlaps: bool) -> Aligner:
     return _aligners[key]
 
 
-BLOCK = "block long, pairs array<long>, counts array<long>, docs array<struct<doc:{0},n_a:long,n_b:long,n_groups:long,groups_sha256:string,groups:string,links:binary>>"
+BLOCK = "block long, pair long, links long, doc {0}, n_a long, n_b long, n_groups long, groups_sha256 string, groups string, places binary"
 
 
 def align_blocks(docs: DataFrame, byte_level: str, pieces: str, overlaps: bool = False, groups: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Blocks of aligned texts: the block's pairs (A id * 2^32 + B id) with how many of its links hold each, and for each
-    text its id, counts, groups (digest, or the text itself too) and links as places among the block's pairs.
+    """Blocks of aligned texts, as two kinds of rows.
 
-    A row is one block, of about BLOCK_CHARS characters; a longer text is a block of its own.  Block numbers are unique
-    in one run but not the same in another, so blocks are written before they are read twice.
+    Rows with a pair (A id * 2^32 + B id) say how many links of the block hold it.  Rows with places are texts: id,
+    counts, groups (digest, or the text itself too), and for each link the place of its pair among the block's pairs in
+    ascending order (little-endian, 32 bits).  A block has about BLOCK_CHARS characters; a longer text is a block of its
+    own.  Block numbers are unique in one run but not the same in another, so blocks are written before they are read.
     """
-    schema = BLOCK.format(docs.schema[id_col].dataType.simpleString())
-    kind = pa.list_(pa.struct([("doc", _arrow_type(docs, id_col)), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("groups_sha256", pa.string()), ("groups", pa.string()), ("links", pa.binary())]))
+    fields = BLOCK.format(docs.schema[id_col].dataType.simpleString())
+    doc_type = _arrow_type(docs, id_col)
+    schema = pa.schema([("block", pa.int64()), ("pair", pa.int64()), ("links", pa.int64()), ("doc", doc_type), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("groups_sha256", pa.string()), ("groups", pa.string()), ("places", pa.binary())])
+
+    def rows(block: int, many: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block] * many, pa.int64()) if f.name == "block" else columns[f.name] if f.name in columns else pa.nulls(many, f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, block = aligner(byte_level, pieces, overlaps), TaskContext.get().partitionId() << 32
@@ -224,15 +229,17 @@ def align_blocks(docs: DataFrame, byte_level: str, pieces: str, overlaps: bool =
                 found = own.texts(texts)
                 links = [f[3] if f else np.zeros(0, dtype=np.uint64) for f in found]
                 codes, place, counts = np.unique(np.concatenate(links), return_inverse=True, return_counts=True)
-                place, at, rows = place.astype("<u4"), 0, []
-                for doc, f, x in zip(part.column(0).to_pylist(), found, links, strict=True):
-                    n_a, n_b, n_groups, _, shown = f or (0, 0, 0, None, "")
-                    rows.append({"doc": doc, "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "groups_sha256": hashlib.sha256(shown.encode()).hexdigest() if f else "", "groups": shown if groups else None, "links": place[at : at + len(x)].tobytes()})
-                    at += len(x)
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([codes.astype(np.int64)], pa.list_(pa.int64())), pa.array([counts.astype(np.int64)], pa.list_(pa.int64())), pa.array([rows], kind)], names=["block", "pairs", "counts", "docs"])
+                yield rows(block, len(codes), pair=pa.array(codes.astype(np.int64)), links=pa.array(counts.astype(np.int64)))
+                ends = np.cumsum([0, *map(len, links)]).tolist()
+                place = place.astype("<u4")
+                shown = [f[4] if f else "" for f in found]
+                numbers = {n: pa.array([f[k] if f else 0 for f in found], pa.int64()) for k, n in enumerate(("n_a", "n_b", "n_groups"))}
+                digests = pa.array([hashlib.sha256(t.encode()).hexdigest() if f else "" for f, t in zip(found, shown, strict=True)], pa.string())
+                places = pa.array([place[a:z].tobytes() for a, z in zip(ends, ends[1:], strict=False)], pa.binary())
+                yield rows(block, len(texts), doc=part.column(0), groups_sha256=digests, places=places, **numbers, **({"groups": pa.array(shown, pa.string())} if groups else {}))
                 block += 1
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(run, fields)
 
 
 def _arrow_type(df: DataFrame, column: str) -> pa.DataType:
@@ -246,7 +253,7 @@ def pair_counts(blocks: DataFrame) -> DataFrame:
 
     Blocks are summed before they are shuffled; a B id has at most one pair for each A id.
     """
-    each = blocks.select(F.explode(F.arrays_zip("pairs", "counts")).alias("x")).groupBy(F.col("x.pairs").alias("pair")).agg(F.sum("x.counts").alias("links"))
+    each = blocks.where("pair IS NOT NULL").groupBy("pair").agg(F.sum("links").alias("links"))
     b = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))
     counted = each.select("pair", F.shiftright("pair", 32).cast("int").alias("a"), b.cast("int").alias("b"), "links")
     return counted.withColumn("best", F.col("links") == F.max("links").over(Window.partitionBy("b")))
@@ -271,15 +278,15 @@ def align(docs: DataFrame, byte_level: str, pieces: str, overlaps: bool = False,
     align_blocks(docs, byte_level, pieces, overlaps, groups, id_col, text_col).write.parquet(folder)
     blocks = spark.read.parquet(folder)
     counted = pair_counts(blocks).select("pair", "links", "best")
-    back = blocks.select(F.col("block").alias("of"), F.explode("pairs").alias("pair")).join(counted, "pair").select("of", "pair", "links", "best")
-    texts = blocks.select("block", F.explode("docs").alias("d")).select("block", "d.*")
+    back = blocks.where("pair IS NOT NULL").select(F.col("block").alias("of"), "pair").join(counted, "pair").select("of", "pair", "links", "best")
+    texts = blocks.where("places IS NOT NULL").drop("pair", "links")
     schema = f"`{id_col}` {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string" + ", groups string" * groups
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         pairs = right.column("pair").to_numpy()
         order = np.argsort(pairs)
         links, best = right.column("links").to_numpy()[order], right.column("best").to_numpy()[order].astype(np.int64)
-        places = [np.frombuffer(x, dtype="<u4") for x in left.column("links").to_pylist()]
+        places = [np.frombuffer(x, dtype="<u4") for x in left.column("places").to_pylist()]
         out = {
             id_col: left.column("doc"), "n_a": left.column("n_a"), "n_b": left.column("n_b"), "n_groups": left.column("n_groups"), "n_links": pa.array([len(p) for p in places], pa.int64()),
             "n_best": pa.array([int(best[p].sum()) for p in places], pa.int64()), "count_sum": pa.array([int(links[p].sum()) for p in places], pa.int64()), "groups_sha256": left.column("groups_sha256"),
