@@ -29,7 +29,7 @@ from newsloom.tables import fresh_dir
 
 #: Chunks in each of two generations of a worker's memo, the longest that is kept, characters of chunks that are aligned
 #: at once, and characters of a block.
-MEMO_SIZE, MEMO_CHARS, ALIGN_CHARS, BLOCK_CHARS = 100_000, 48, 1 << 18, 4 << 20
+MEMO_SIZE, MEMO_CHARS, ALIGN_CHARS, BLOCK_CHARS = 150_000, 48, 1 << 18, 4 << 20
 
 
 def coalesce(a_sizes: np.ndarray, b_sizes: np.ndarray, a_text: np.ndarray, b_text: np.ndarray, overlaps: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -113,7 +113,7 @@ class Aligner:
         """(tokens of A, tokens of B, groups, links as packed pairs, groups as text) of chunks, each taken with a blank
         before it; None where the bytes of a side are not the chunk's own."""
         a_ids = [e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
-        b_ids = [[i for p in self.b.pre_tokens(w) for i in self.b.word_ids(p)] for w in words]
+        b_ids = self.b.library.encode(words, num_threads=1)
         fit = []
         for w, a, b in zip(words, a_ids, b_ids, strict=True):
             data = (" " + w).encode()
