@@ -3,10 +3,12 @@
 Each document of a source should be taken target / source size times.  The whole part is certain; the fraction is
 rounded by the pivotal method: two documents with fractional copies exchange mass (words), in a random direction that
 keeps both expectations, until one of them is integral; the other goes on to the next.  The words of a pair stay what
-they were, so a source ends within half a document of its target; a chunk goes from its largest documents to its smallest,
-so the document that is left over tends to be small.  Pairs are met in a reduction tree: documents fall by
-hash into chunks of about FAN_IN, a chunk folds to one document that is still fractional, and these fold again, level
-by level, until one is left for each source, which goes to its nearer side.  All draws are hashes of ids.
+they were.  Pairs are met in a reduction tree: documents fall by hash into chunks of about FAN_IN, a chunk folds to one
+document that is still fractional, and these fold again, level by level, until one is left for each source.  It goes to
+its nearer side, and what that adds or leaves is settled by KEPT of the source's documents (by hash, at most a quarter of
+them), which stay out of the tree: the largest that still fits is taken, again and again.  So a source ends within half
+of one of its smaller documents of its target, if the kept ones hold as many words as half of the last one.  All draws
+are hashes of ids.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from newsloom.tables import ensure_checkpoints
 
 #: Weights that repeat over the sources in order; all targets together and each one's most, as parts of the sizes.
 WEIGHTS, SHARE, MOST, SEED = (3, 1, 2), 1.5, 2.0, 11
-#: Mean number of documents in a chunk of the reduction tree.
-FAN_IN = 48
+#: Mean number of documents in a chunk of the reduction tree, and those of a source that settle the rest.
+FAN_IN, KEPT = 48, 16
 
 
 def word_count(text: Column) -> Column:
@@ -81,20 +83,53 @@ def _fold(units: DataFrame, level: int, id_type: str, seed: int) -> DataFrame:
     return chunks.select("source", F.expr(fold).alias("f")).select("source", "f.settled", "f.carry")
 
 
+def _settled(carried: DataFrame, kept: DataFrame, id_type: str) -> DataFrame:
+    """(source, id, up) for the last document of each source and its kept ones (source, id, w, m), at most KEPT.
+
+    The last one goes to its nearer side, or to the other if only that can be made up for.  Then the kept ones are taken
+    from the largest to the smallest as long as they fit into the words that are due, and the smallest that is left if it
+    brings them nearer.
+    """
+    units = kept.groupBy(F.col("source").alias("_s")).agg(F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("by_size"), "id", "w"))).alias("units"), F.sum("w").alias("all"), F.sum("m").alias("due"))
+    last = carried.select("source", F.struct("id", "w", "m").alias("last"))
+    both = last.join(units, F.col("source").eqNullSafe(F.col("_s")), "full_outer").select(F.expr("CASE WHEN last IS NULL THEN _s ELSE source END AS source"), "last", "units", F.expr("coalesce(all, 0)").alias("all"), F.expr("coalesce(due, 0)").alias("due"))
+    near = F.expr("2 * last.m >= last.w")
+    up_fits, down_fits = F.expr("due + last.m - last.w >= 0"), F.expr("due + last.m <= all")
+    both = both.withColumn("up", F.when(F.col("last").isNull(), F.lit(None)).when(near, up_fits | ~down_fits).otherwise(~down_fits & up_fits))
+    both = both.withColumn("due", F.expr("due + CASE WHEN last IS NULL THEN 0 WHEN up THEN last.m - last.w ELSE last.m END"))
+    state = f"struct<due:double,taken:array<struct<id:{id_type},up:boolean>>>"
+    take = "cast(named_struct('due', c.due - CASE WHEN x.w <= c.due THEN x.w ELSE 0 END, 'taken', concat(c.taken, array(named_struct('id', x.id, 'up', x.w <= c.due)))) AS " + state + ")"
+    both = both.withColumn("f", F.expr(f"aggregate(coalesce(units, array()), cast(named_struct('due', due, 'taken', array()) AS {state}), (c, x) -> {take})"))
+    # the smallest document that was not taken
+    places = "filter(sequence(1, greatest(size(f.taken), 1)), i -> NOT coalesce(try_element_at(f.taken, i).up, true))"
+    one = F.expr(f"try_element_at({places}, -1)").alias("one")
+    both = both.select("source", "last", "up", "units", "f", one)
+    more = "i + 1 = one AND 2 * f.due >= element_at(units, one).w"
+    done = F.expr(f"transform(f.taken, (t, i) -> named_struct('id', t.id, 'up', t.up OR coalesce({more}, false)))")
+    first = F.expr(f"CASE WHEN last IS NULL THEN cast(array() AS array<struct<id:{id_type},up:boolean>>) ELSE array(named_struct('id', last.id, 'up', up)) END")
+    return both.select("source", F.explode(F.concat(first, done)).alias("d")).select("source", "d.id", "d.up")
+
+
 def rounded_copies(sized: DataFrame, id_type: str, seed: int = SEED, fan_in: int = FAN_IN, **shares) -> DataFrame:
     """(source, id, source_size, target, copies) for each distinct (source, id) of ``sized`` (source, id, size).
 
     Rows with the same source and id are one unit of their summed size.
     """
     units = sized.groupBy("source", "id").agg(F.sum("size").alias("w")).checkpoint()
-    counts = units.groupBy("source").agg(F.sum("w").alias("source_size"), F.count("*").alias("n_units"))
-    targets = source_targets(counts.select("source", "source_size"), **shares).join(counts.select(F.col("source").alias("_s"), "n_units"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").checkpoint()
+    counts = units.groupBy("source").agg(F.sum("w").alias("source_size"), F.count("*").alias("n_units"), F.count_if(F.col("w") > 0).alias("n_worded"))
+    # some documents of each source, a top-k that is cut before the shuffle; the last one tells them from the rest
+    place = F.xxhash64(F.lit(seed), F.lit("kept"), F.col("id"))
+    least = units.where("w > 0").withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy(place, "id"))).where(F.col("k") <= KEPT)
+    of = counts.select(F.col("source").alias("_s"), "n_units", "n_worded")
+    least = least.join(of, F.col("source").eqNullSafe(F.col("_s"))).where("k <= n_worded div 4").groupBy(F.col("source").alias("_l")).agg(F.max(F.struct(place.alias("place"), "id")).alias("last"))
+    targets = source_targets(counts.select("source", "source_size"), **shares).join(of.drop("n_worded"), F.col("source").eqNullSafe(F.col("_s"))).join(least, F.col("source").eqNullSafe(F.col("_l")), "left").drop("_s", "_l").checkpoint()
     at_source = F.col("source").eqNullSafe(F.col("_source"))
     parted = units.join(F.broadcast(targets.withColumnRenamed("source", "_source")) if targets.count() <= 10_000 else targets.withColumnRenamed("source", "_source"), at_source).drop("_source")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     parted = parted.withColumn("whole", F.floor(share)).withColumn("m", (share - F.floor(share)) * F.col("w"))
     chunk = lambda n, level: F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.col("id")), F.greatest(F.ceil(n / F.lit(fan_in)), F.lit(1)))
-    now = parted.where("w > 0 and m > 0").select("source", "id", "w", "m", chunk(F.col("n_units"), 0).alias("chunk"))
+    kept = F.coalesce(F.struct(place.alias("place"), "id") <= F.col("last"), F.lit(False))
+    now = parted.where(F.expr("w > 0 and m > 0") & ~kept).select("source", "id", "w", "m", chunk(F.col("n_units"), 0).alias("chunk"))
     most = targets.agg(F.max("n_units")).first()[0] or 0
     decided, level = None, 0
     while True:
@@ -107,7 +142,7 @@ def rounded_copies(sized: DataFrame, id_type: str, seed: int = SEED, fan_in: int
         level, most = level + 1, -(-most // fan_in)
         per = carried.groupBy(F.col("source").alias("_source")).agg(F.count("*").alias("_n"))
         now = carried.join(per, at_source).select("source", "id", "w", "m", chunk(F.col("_n"), level).alias("chunk"))
-    final = carried.select("source", "id", F.expr("2 * m >= w").alias("up"))
+    final = _settled(carried, parted.where(F.expr("w > 0 and m > 0") & kept).select("source", "id", "w", "m"), id_type)
     decided = decided.unionByName(final).withColumnsRenamed({"source": "_source", "id": "_id"})
     out = parted.join(decided, at_source & F.col("id").eqNullSafe(F.col("_id")), "left")
     return out.select("source", "id", "source_size", "target", (F.col("whole") + F.coalesce(F.col("up").cast("long"), F.lit(0))).alias("copies"))
