@@ -3,8 +3,8 @@
 Numbers that pass their format's check (card numbers by Luhn, phone numbers by their grouping, IPv4 addresses by their
 octets, social security numbers by their ranges) and dates that exist are replaced by a keyed permutation of the
 format's own values, so that a pseudonym is valid again, equal values get equal pseudonyms in every document, and no
-two valid values of one format share one.  What has no check to pass is left alone: numbers of other countries, IBAN,
-IPv6, octets with leading zeros.  Mail addresses (their local part) and credentials are permuted letter by letter within their
+two valid values of one format share one.  Left alone: numbers of other countries, IPv6, octets
+with leading zeros, and what has no check to pass.  Account numbers (IBAN, by their check digits) keep their country.  Mail addresses (their local part) and credentials are permuted letter by letter within their
 alphabets in the same way.
 
 A numeric format is a pair of integers (a in [0, M), b in [0, N)).  Each round adds a keyed hash of one half to the
@@ -21,15 +21,16 @@ from pyspark.sql import functions as F
 ROUNDS, DEFAULT_KEY = 6, "newsloom"
 
 # The formats' patterns.  Java syntax; each alternative is one kind.
-MAIL = r"[\p{L}0-9._%+-]*[\p{L}0-9]@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}"
+MAIL = r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]*[\p{L}0-9]@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}"
 CARD = r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d-]|\.\d)"
 PHONE = r"(?<![\w+])(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?![\d-])"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 IP = r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)"
 DATE = r"(?<![\w./-])(?:(?:19|20)\d{2}[-/]\d{2}[-/]\d{2}|\d{2}\.\d{2}\.(?:19|20)\d{2})(?![\w/-]|\.\d)"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 ACCESS_KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
 SECRET = r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b)[\"']?\s*[:=]\s*[\"']?[A-Za-z0-9+/_-]{8,}"
-PATTERN = "|".join((MAIL, ACCESS_KEY, SECRET, PHONE, SSN, DATE, IP, CARD))
+PATTERN = "|".join((MAIL, ACCESS_KEY, SECRET, IBAN, PHONE, SSN, DATE, IP, CARD))
 #: Every match has one of these, so texts without any are passed over cheaply.
 HINT = r"@|\d[ .-]?\d|AKIA|ASIA|(?i:password|passwd|pwd|token|secret|key)"
 
@@ -54,14 +55,14 @@ def feistel(key: str, kind: str, a: str, b: str, m: int, n: int, use: str) -> st
 def permute_letters(key: str, kind: str, x: str, small: str = "26") -> str:
     """SQL: a string with each letter and digit moved within its own alphabet (``small``: of the small letters).
 
-    The string's halves take turns: each character of one half is shifted by a keyed hash of the other half and its
-    place, which keeps length, case, digits and all other characters.
+    The string's halves take turns: each character of one half is shifted by a keyed hash of the other half (its digest,
+    taken once) and its place, which keeps length, case, digits and all other characters.
     """
     def shifted(half: str, other: str, round_: str) -> str:
-        amount = _hash(key, kind, round_, f"concat(h.{other}, ':', cast(i AS string))")
+        amount = _hash(key, kind, round_, "concat(d, ':', cast(i AS string))")
         alphabet = lambda low, size: f"chr(cast({low} + pmod(ascii(c) - {low} + {amount}, {size}) AS int))"
         char = f"CASE WHEN c BETWEEN '0' AND '9' THEN {alphabet(48, 10)} WHEN c BETWEEN 'a' AND 'z' THEN {alphabet(97, small)} WHEN c BETWEEN 'A' AND 'Z' THEN {alphabet(65, 26)} ELSE c END"
-        return f"array_join(transform(filter(split(h.{half}, ''), c -> c <> ''), (c, i) -> {char}), '')"
+        return f"transform(array(sha2(h.{other}, 256)), d -> array_join(transform(filter(split(h.{half}, ''), c -> c <> ''), (c, i) -> {char}), ''))[0]"
 
     left = f"named_struct('l', {shifted('l', 'r', 'k')}, 'r', h.r)"
     both = f"transform(array({left}), h -> named_struct('l', h.l, 'r', {shifted('r', 'l', '-k')}))[0]"
@@ -94,6 +95,21 @@ def _card(key: str, x: str) -> str:
     return f"CASE WHEN pmod({_luhn_sum(d, 1)}, 10) = 0 THEN transform(array({sized}), v -> {_refill(x, 'v')})[0] ELSE {x} END"
 
 
+def _mod97(x: str) -> str:
+    """SQL: letters and digits as one number (A is 10), modulo 97."""
+    return f"aggregate(filter(split({x}, ''), c -> c <> ''), 0, (m, c) -> CASE WHEN c BETWEEN '0' AND '9' THEN pmod(m * 10 + ascii(c) - 48, 97) ELSE pmod(m * 100 + ascii(c) - 55, 97) END)"
+
+
+def _iban(key: str, x: str) -> str:
+    # the country stays, the account moves within its letters and digits, and the check digits follow
+    flat, account = f"replace({x}, ' ', '')", f"substr(replace({x}, ' ', ''), 5)"
+    checked = f"{_mod97(f'concat({account}, left({flat}, 4))')} = 1"
+    moved = permute_letters(key, "iban", account)
+    made = f"transform(array({moved}), a -> concat(left({flat}, 2), lpad(cast(98 - {_mod97(f"concat(a, left({flat}, 2), '00')")} AS string), 2, '0'), a))[0]"
+    spaced = f"array_join(transform(filter(split({x}, ''), c -> c <> ''), (c, i) -> CASE WHEN c = ' ' THEN c ELSE substr(v, length(replace(substr({x}, 1, i + 1), ' ', '')), 1) END), '')"
+    return f"CASE WHEN {checked} THEN transform(array({made}), v -> {spaced})[0] ELSE {x} END"
+
+
 def _phone(key: str, x: str) -> str:
     # the last ten digits; area codes and exchanges that begin with 2 to 9 (the numbering plan) stay so, and the numbers
     # outside the plan, by area code or by exchange alone, are permuted among themselves
@@ -150,6 +166,7 @@ def pseudonym(x: str, key: str) -> str:
     return f"""CASE WHEN {x} LIKE '%@%' THEN {mail}
         WHEN {whole(ACCESS_KEY)} THEN {_after(x, 'access', '^....', key)}
         WHEN {whole(SECRET)} THEN {_after(x, 'secret', "^(?s).*?[:=][ \\t\\r\\n]*[\\x22']?", key)}
+        WHEN {whole(IBAN)} THEN {_iban(key, x)}
         WHEN {whole(PHONE)} THEN {_phone(key, x)}
         WHEN {whole(SSN)} THEN {_ssn(key, x)}
         WHEN {whole(DATE)} THEN {_date(key, x)}

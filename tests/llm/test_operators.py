@@ -297,7 +297,7 @@ def test_account_numbers_and_long_runs(spark):
     import time
 
     good = ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "FR1420041010050500013M02606"]
-    texts = [f"pay to {x} today" for x in good] + ["pay to DE88370400440532013000 today", "a" * 1_000_000 + " key", "token=" + "Ab3" * 100_000]
+    texts = [f"pay to {x} today" for x in good] + ["pay to DE88370400440532013000 today", "a" * 1_000_000 + " key", "token=" + "Ab3" * 5_000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     pii.pseudonymise(df.where("doc_id < 4")).collect()
     begin = time.time()
