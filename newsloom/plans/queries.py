@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import dates, text
 from newsloom.functions.replies import parse_analysis, parse_score
-from newsloom.operators import gate, inference, merge, quality, rank, report, scored, similarity
+from newsloom.operators import gate, greedy, inference, merge, quality, rank, ratio_join, report, scored, similarity
 from newsloom.plans.views import AS_OF, MODELS, NOW, PROFILE, SQL_VIEWS, analyses_v, articles_v, each_model, models_v, scores_v
 from newsloom.profiles import keywords_table, sources_table
 from newsloom.sources import pages as page_source
@@ -380,6 +380,81 @@ def shingle_jaccard_pairs(spark, sf_dir):
     return similarity.shingle_links(d).select("article_id", "class_id", "links")
 
 
+_NORMAL = r"trim(regexp_replace(regexp_replace(lower(coalesce({}, '')), '[^a-z0-9\s]+', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(f""", t AS (SELECT {_NORMAL.format('title')} AS norm, min(article_id) AS id FROM articles_v GROUP BY 1 HAVING norm <> ''),
+n AS (SELECT id, length(norm) AS size, unnest(string_split(norm, '')) AS c FROM t),
+l AS (SELECT id, size, c, count(*) AS k FROM n GROUP BY id, size, c)
+SELECT x.id AS a, y.id AS b FROM l x JOIN l y ON x.c = y.c AND x.id < y.id GROUP BY x.id, y.id, x.size, y.size HAVING 2 * sum(least(x.k, y.k)) >= 0.82 * (x.size + y.size) - 1e-9""")
+def title_letter_pairs(spark, sf_dir):
+    """Pairs of distinct titles whose letter counts allow the ratio: the first bound of ``similar_pairs``."""
+    ensure_checkpoints(spark)
+    titles = articles_v(spark, sf_dir).select(F.col("article_id").alias("id"), text.normalize_text(F.coalesce("title", F.lit(""))).alias("text")).where("text <> ''")
+    return ratio_join.count_pairs(ratio_join.measured(titles.groupBy("text").agg(F.min("id").alias("id")), 0.82).checkpoint(), 0.82, grams=False)
+
+
+@query()
+def similar_article_pairs(spark, sf_dir):
+    """All pairs that connect similar articles; a test compares all pairs of whole texts."""
+    return similarity.similar_pairs(articles_v(spark, sf_dir).withColumn("ord", F.col("article_id")), PROFILE)
+
+
+_WALK = f""", t AS (SELECT doc_id AS article_id, {_NORMAL.format('text')} AS norm FROM documents),
+c AS (SELECT norm, min(article_id) AS class_id FROM t GROUP BY norm),
+w AS (SELECT class_id, string_split(norm, ' ') AS w FROM c WHERE norm <> ''),
+s AS (SELECT DISTINCT class_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS s FROM w),
+n AS (SELECT class_id, count(*) AS n FROM s GROUP BY class_id),
+o AS (SELECT x.class_id AS a, y.class_id AS b, count(*) AS shared FROM s x JOIN s y ON x.s = y.s AND x.class_id < y.class_id GROUP BY x.class_id, y.class_id),
+p AS (SELECT a, b FROM o JOIN n na ON na.class_id = a JOIN n nb ON nb.class_id = b WHERE shared >= 0.8 * (na.n + nb.n - shared)),
+q AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p UNION ALL SELECT class_id, class_id FROM c),
+m AS (SELECT v.article_id AS ord, class_id, v.source, CASE WHEN v.source IN ('src0', 'src1', 'src2', 'src3') THEN 4 WHEN v.source IN ('src4', 'src5', 'src6', 'src7', 'src8', 'src9') THEN 3 WHEN v.source IN ('src16', 'src17', 'src18', 'src19') THEN 1 ELSE 2 END AS tier,
+      v.article_id % 5 AS priority, published_at AS dated FROM articles_v v JOIN t USING (article_id) JOIN c USING (norm)),
+e AS (SELECT x.ord AS r, y.ord AS y FROM q JOIN m x ON x.class_id = q.a JOIN m y ON y.class_id = q.b AND y.ord < x.ord),
+g AS (SELECT ord, tier, priority, dated, (SELECT list(y) FROM e WHERE r = ord) AS nb FROM m WHERE ord IN (SELECT r FROM e UNION SELECT y FROM e)),
+k AS (SELECT *, row_number() OVER (ORDER BY ord) AS k FROM g),
+walk(k, reps) AS (
+    SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(slot BIGINT, rep BIGINT, tier INTEGER, priority BIGINT, dated TIMESTAMP)[])
+    UNION ALL
+    SELECT k, CASE WHEN hit IS NULL THEN list_append(reps, own) WHEN tier > hit.tier OR (tier = hit.tier AND (priority > hit.priority OR (priority = hit.priority AND coalesce(dated > hit.dated, false)))) THEN list_transform(reps, lambda x: CASE WHEN x.slot = hit.slot THEN struct_update(own, slot := hit.slot) ELSE x END) ELSE reps END
+    FROM (SELECT k.*, w.reps, list_filter(w.reps, lambda x: list_contains(coalesce(k.nb, []), x.rep))[1] AS hit, CAST({{'slot': ord, 'rep': ord, 'tier': tier, 'priority': priority, 'dated': dated}} AS STRUCT(slot BIGINT, rep BIGINT, tier INTEGER, priority BIGINT, dated TIMESTAMP)) AS own FROM walk w JOIN k ON k.k = w.k + 1)),
+chosen AS (SELECT x.slot AS slot, x.rep AS article_id FROM (SELECT unnest(reps) AS x FROM walk WHERE k = (SELECT max(k) FROM walk)) UNION ALL SELECT ord, ord FROM m WHERE ord NOT IN (SELECT ord FROM g))
+"""
+
+
+def _jaccard_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(slot, article_id): the walk in the order of ids, where texts with 0.8 of their five-word shingles are similar."""
+    ensure_checkpoints(spark)
+    tiers = F.create_map(*(F.lit(x) for s in PROFILE.sources for x in (s.id, s.tier)))
+    rows = articles_v(spark, sf_dir).select(F.col("article_id").alias("ord"), "source", text.normalize_text(F.coalesce("summary", F.lit(""))).alias("text"), F.coalesce(tiers[F.col("source")], F.lit(PROFILE.default_tier)).alias("tier"), (F.col("article_id") % 5).cast("int").alias("priority"), F.unix_micros("published_at").alias("at"))
+    classes = rows.groupBy("text").agg(F.min("ord").alias("cls")).checkpoint()
+    pairs = similarity.shingle_jaccard_pairs(classes, 5, 0.8, "cls").select(F.col("a").alias("x"), F.col("b").alias("y")).checkpoint()
+    members = rows.join(classes, "text").select("ord", "cls").checkpoint()
+    first = members.where("ord = cls").select(F.col("ord").alias("y"))
+    return greedy.greedy_rounds(rows, greedy.linked_classes(members, pairs), first=first).select("slot", F.col("winner").alias("article_id"))
+
+
+@query()
+def jaccard_dedupe(spark, sf_dir):
+    """Near-duplicates merged by the greedy walk, with better ones in their slots, over links that SQL can express."""
+    return _jaccard_choice(spark, sf_dir)
+
+
+@query()
+def jaccard_ranking(spark, sf_dir):
+    """The articles to score after that walk: at most 3 of each noisy source, 5 of all noisy ones, 25 altogether."""
+    rows = articles_v(spark, sf_dir).select("article_id", "source", F.col("source").isin(*PROFILE.noisy).alias("is_noisy"))
+    return rank.source_quotas(_jaccard_choice(spark, sf_dir).join(rows, "article_id"), "slot").select("slot", "article_id", "source")
+
+
+ORACLE_SQL["jaccard_dedupe"] = f"WITH RECURSIVE {SQL_VIEWS} {_WALK} SELECT slot, article_id FROM chosen"
+ORACLE_SQL["jaccard_ranking"] = f"""WITH RECURSIVE {SQL_VIEWS} {_WALK},
+z AS (SELECT slot, article_id, source, source IN ('src16', 'src17', 'src18', 'src19') AS noisy FROM chosen JOIN articles_v USING (article_id)),
+z1 AS (SELECT *, row_number() OVER (PARTITION BY source, noisy ORDER BY slot) AS a FROM z),
+z2 AS (SELECT *, row_number() OVER (PARTITION BY noisy ORDER BY slot) AS b FROM z1 WHERE NOT noisy OR a <= 3)
+SELECT slot, article_id, source FROM z2 WHERE NOT noisy OR b <= 5 ORDER BY slot LIMIT 25"""
+
+
 @query()
 def near_dup_dedupe(spark, sf_dir):
     ensure_checkpoints(spark)

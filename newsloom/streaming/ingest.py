@@ -13,6 +13,7 @@ from newsloom.operators.gate import within_recency
 from newsloom.operators.inference import Infer, score
 from newsloom.operators.merge import insert_new_articles
 from newsloom.operators.rank import rank_for_scoring
+from newsloom.operators.scored import unscored
 from newsloom.profiles import Profile
 
 
@@ -88,13 +89,43 @@ def ingest_stream(items: DataFrame, path: str, schema: str, checkpoint: str, pre
     return items.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def score_stream(articles: DataFrame, path: str, schema: str, infer: Infer, p: Profile, provider: str, model: str, as_of: str, checkpoint: str) -> StreamingQuery:
-    """Rank and score each batch of new articles and append the scores; a repeated batch changes nothing, and what has a
-    score by this model gets no other one."""
+def score_pending(articles: DataFrame, path: str, schema: str, infer: Infer, p: Profile, provider: str, model: str, as_of: str, run: int, **limits) -> None:
+    """Rank all articles that this model has not scored, score the best of them and append the scores as batch ``run``.
+
+    What a run leaves (quotas, near-duplicates of what it takes) comes back in the next one.  A run that is repeated with
+    its number replaces its own rows.
+    """
+    spark = articles.sparkSession
+    known = spark.read.schema(f"{schema}, batch long").parquet(path).where(F.col("batch") != run).drop("batch")
+    todo = unscored(articles, known, provider, model)
+    new, _ = score(rank_for_scoring(todo, p, as_of, **limits), known, infer, p, provider, model, as_of)
+    append_batch(new, path, schema, run)
+
+
+def score_stream(articles: DataFrame, path: str, schema: str, infer: Infer, p: Profile, provider: str, model: str, as_of: str, checkpoint: str, **limits) -> StreamingQuery:
+    """Keep the stream's articles beside the scores (``path``-articles), and score the best unscored ones with each batch.
+
+    Each batch ranks the whole backlog: articles that earlier batches left unscored compete with the new ones, and quotas
+    and near-duplicates count over all of them.  Articles whose id is known are passed over; a repeated batch changes
+    nothing.  ``score_pending`` over ``stream_articles`` goes on with the backlog when no new articles come.
+    """
+    kept, columns = f"{path.rstrip('/')}-articles", _ddl(articles)
+
     def step(batch: DataFrame, number: int) -> None:
-        before = read_table(batch.sparkSession, path, schema, number)
-        new, _ = score(rank_for_scoring(batch, p, as_of), before, infer, p, provider, model, as_of)
-        append_batch(new, path, schema, number)
+        spark = batch.sparkSession
+        fresh = new_rows(batch, read_table(spark, kept, columns, number), ["article_id"]).dropDuplicates(["article_id"])
+        append_batch(fresh, kept, columns, number)
+        score_pending(read_table(spark, kept, columns), path, schema, infer, p, provider, model, as_of, number, **limits)
 
     create_table(articles.sparkSession, path, schema)
+    create_table(articles.sparkSession, kept, columns)
     return articles.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_articles(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The articles that ``score_stream`` has kept beside the scores at ``path``; ``like`` has their columns."""
+    return read_table(spark, f"{path.rstrip('/')}-articles", _ddl(like))
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)

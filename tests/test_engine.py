@@ -155,6 +155,28 @@ def test_streams_equal_batches(spark, sf_dir, tmp_path):
     assert ingest.read_table(spark, str(tmp_path / "scores"), SCORES).count() == 25
 
 
+def test_backlog_of_the_scoring_stream(spark, sf_dir, tmp_path):
+    """Two batches and a run without news: each takes the best of all that is unscored, as one list of runs would."""
+    table = articles_v(spark, sf_dir).repartition(2, "article_id")
+    table.write.parquet(str(tmp_path / "ready"))
+    stream = ingest.read_items(spark, str(tmp_path / "ready"), ingest._ddl(table), maxFilesPerTrigger="1")
+    out, args = str(tmp_path / "scores"), (SCORES, inference.rule_based_infer, PROFILE, "p", "m", AS_OF)
+    ingest.score_stream(stream, out, *args, str(tmp_path / "ck")).awaitTermination()
+    kept = ingest.stream_articles(spark, out, table)
+    batches = spark.read.schema(f"{ingest._ddl(table)}, batch long").parquet(f"{out}-articles")
+    assert kept.count() == table.count() and {r["batch"] for r in batches.select("batch").distinct().collect()} == {0, 1}
+    ingest.score_pending(kept, out, *args, 2)
+    ingest.score_pending(kept, out, *args, 2)  # repeated: the same rows
+    got = {n: [r["article_id"] for r in spark.read.schema(f"{SCORES}, batch long").parquet(out).where(F.col("batch") == n).collect()] for n in range(3)}
+    done = []
+    for n in range(3):
+        todo = batches.where(F.col("batch") <= n).drop("batch").where(~F.col("article_id").isin(done)) if done else batches.where(F.col("batch") <= n).drop("batch")
+        best = [r["article_id"] for r in rank.rank_for_scoring(todo, PROFILE, AS_OF).select("article_id").collect()]
+        assert sorted(best) == sorted(got[n]) and len(best) == 25
+        done += best
+    assert len(set(done)) == 75
+
+
 def test_repeated_keys_in_changes(spark, sf_dir):
     """Changes that name a key twice give one row, whatever their order."""
     items = scored.scored_articles(scores_v(spark, sf_dir), articles_v(spark, sf_dir)).where("provider = 'p0'").drop("category", "provider", "model").join(analyses_v(spark, sf_dir).drop("model_raw"), "article_id").limit(1)
