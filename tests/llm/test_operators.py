@@ -382,6 +382,24 @@ def test_html(spark):
     assert html_extract.extract_text(df.limit(0)).count() == 0
 
 
+LONG = "The story goes on for a while. " * 12
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f'<div class="layout has-sidebar"><article><p>{LONG}</p></article></div>', LONG), (f'<div id="page" class="header-fixed"><main><p>{LONG}</p></main></div>', LONG), (f'<form id="aspnetForm"><article><p>{LONG}</p></article></form>', LONG),
+        (f'<article><p>{LONG}</p><section id="related-work"><p>Work before.</p></section></article>', f"{LONG}\nWork before."), (f'<div class="story"><p>{LONG}</p></div><article class="card"><p>Card</p></article>', f"{LONG}\nCard"),
+        (f'<article><p>{LONG}</p><div class="related"><p>More</p></div></article><div class="sidebar"><article><p>Other</p></article></div>', LONG),
+    ],
+)
+def test_wrappers_do_not_hide_the_article(spark, html, text):
+    """Boilerplate names on wrappers, forms around pages, topical names inside articles, cards beside the text."""
+    pages = spark.createDataFrame([(1, "http://one.example/a", html)], "page_id long, url string, html string")
+    want = "\n".join(" ".join(x.split()) for x in text.split("\n"))
+    assert [r["text"] for r in html_extract.extract_text(pages).collect()] == [want]
+
+
 def test_html_counts_pages_not_rows(spark):
     """A page without an article keeps its text though the table holds it three times, as it is or fetched anew."""
     own = "one two three four five six seven eight nine ten"
