@@ -34,7 +34,7 @@ MAGIC = b"PLNIDS01"
 #: Ids in a chunk, ids above which a task goes on in the next file, and bytes of text encoded at once.
 CHUNK_IDS, FILE_IDS, BATCH_BYTES = 1 << 16, 1 << 24, 4 << 20
 #: Pieces that a worker's memo keeps, and the longest of them (characters).
-MEMO_SIZE, MEMO_CHARS = 300_000, 48
+MEMO_SIZE, MEMO_CHARS = 150_000, 48
 
 
 # ---- the file format ----------------------------------------------------------------------------------------------
