@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import dates, text
 from newsloom.functions.replies import parse_analysis, parse_score
-from newsloom.operators import gate, greedy, inference, merge, quality, rank, ratio_join, report, scored, similarity
-from newsloom.plans.views import AS_OF, MODELS, NOW, PROFILE, SQL_VIEWS, analyses_v, articles_v, each_model, models_v, scores_v
+from newsloom.operators import gate, greedy, inference, many_profiles, merge, quality, rank, ratio_join, report, scored, similarity
+from newsloom.plans.views import AS_OF, MODELS, NOW, PROFILE, PROFILES, SQL_VIEWS, analyses_v, articles_v, each_model, models_v, scores_v
 from newsloom.profiles import keywords_table, sources_table
 from newsloom.sources import pages as page_source
 from newsloom.streaming.ingest import source_counts
@@ -160,6 +160,44 @@ def priority_rank(spark, sf_dir):
     return gate.prioritized(gate.gated(articles_v(spark, sf_dir), PROFILE), PROFILE).select("article_id", "priority")
 
 
+def _rows(name: str, columns: str, rows: list[tuple]) -> str:
+    """A table of literals in SQL."""
+    literal = lambda v: "NULL" if v is None else str(v) if isinstance(v, (bool, int)) else "'" + v.replace("'", "''") + "'"
+    return f"{name}({columns}) AS (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)})"
+
+
+_RULES = ", ".join([
+    _rows("listed", "profile_id, source, tier, is_noisy", [(p.id, s, {x.id: x.tier for x in p.sources}.get(s, p.default_tier), s in p.noisy) for p in PROFILES for s in many_profiles.listed_sources(p)]),
+    _rows("words", "profile_id, tier, ord, word", [(p.id, t, k, w) for p in PROFILES for t, own in [*p.tiers.items(), ("general", p.general())] for k, w in enumerate(own)]),
+    _rows("high", "profile_id, tier", [(p.id, t) for p in PROFILES for t in p.high_priority_tiers]),
+    _rows("titles", "profile_id, ord, prefix, pattern, tag", [(p.id, k, r.source_prefix, r.pattern, r.tag) for p in PROFILES for k, r in enumerate(p.title_rules)]),
+    _rows("entities", "profile_id, source, ord, entity_bonus, context_bonus, max_bonus, k, name, alias", [(p.id, r.source_id, n, r.entity_bonus, r.context_bonus, r.max_bonus, k, name, a) for p in PROFILES for n, r in enumerate(p.entity_rules) for k, (name, aliases) in enumerate(r.entities) for a in aliases]),
+    _rows("contexts", "profile_id, ord, k, word", [(p.id, n, k, w) for p in PROFILES for n, r in enumerate(p.entity_rules) for k, w in enumerate(r.context_keywords)]),
+])
+_ALL_GATES = f""", {_RULES},
+a AS (SELECT article_id, source, title, lower({_BLOB}) AS low FROM articles_v), l AS (SELECT a.*, profile_id, tier, is_noisy FROM a JOIN listed USING (source)),
+h AS (SELECT article_id, l.profile_id, list(w.word ORDER BY w.ord) FILTER (w.tier = 'direct') AS direct, list(w.word ORDER BY w.ord) FILTER (w.tier = 'strong') AS strong, list(w.word ORDER BY w.ord) FILTER (w.tier = 'weak') AS weak, list(w.word ORDER BY w.ord) FILTER (w.tier = 'general') AS general
+      FROM l JOIN words w ON w.profile_id = l.profile_id AND contains(l.low, lower(w.word)) GROUP BY ALL),
+t AS (SELECT article_id, l.profile_id, arg_min(tag, ord) AS tag FROM l JOIN titles r ON r.profile_id = l.profile_id AND starts_with(l.source, r.prefix) AND regexp_matches(l.title, '(?i)' || r.pattern) GROUP BY ALL),
+e AS (SELECT article_id, x.profile_id, x.ord, arg_min(name, k) AS name, any_value(entity_bonus) AS eb, any_value(context_bonus) AS cb, any_value(max_bonus) AS mb, any_value(low) AS low FROM l JOIN entities x ON x.profile_id = l.profile_id AND x.source = l.source AND contains(l.low, lower(x.alias)) GROUP BY ALL),
+c AS (SELECT article_id, e.profile_id, e.ord, arg_min(word, k) AS word FROM e JOIN contexts w ON w.profile_id = e.profile_id AND w.ord = e.ord AND contains(e.low, lower(w.word)) GROUP BY ALL),
+b AS (SELECT article_id, profile_id, sum(least(eb + CASE WHEN word IS NULL THEN 0 ELSE cb END, mb)) AS boost, string_agg('entity:' || name || coalesce('|entity_context:' || word, ''), '|' ORDER BY ord) AS signals FROM e LEFT JOIN c USING (article_id, profile_id, ord) GROUP BY ALL),
+f AS (SELECT l.article_id, l.profile_id, tier, is_noisy, coalesce(direct, []) AS direct, coalesce(strong, []) AS strong, coalesce(weak, []) AS weak, coalesce(general, []) AS general, tag FROM l LEFT JOIN h USING (article_id, profile_id) LEFT JOIN t USING (article_id, profile_id)),
+g AS (SELECT *, array_to_string(CASE WHEN is_noisy THEN CASE WHEN len(direct) > 0 THEN direct WHEN len(strong) >= 2 THEN strong WHEN len(general) > 0 AND len(weak) = 0 THEN general WHEN len(general) > len(weak) THEN list_filter(general, lambda x: NOT list_contains(weak, x)) ELSE [] END
+      WHEN len(general) > 0 THEN general WHEN tag IS NOT NULL THEN [tag] ELSE [] END, '|') AS hits FROM f),
+n AS (SELECT article_id, g.profile_id, count(DISTINCT w.tier) AS high FROM g JOIN high USING (profile_id) JOIN words w ON w.profile_id = g.profile_id AND w.tier = high.tier AND contains(lower(replace(hits, '|', ' ')), lower(w.word)) GROUP BY ALL),
+p AS (SELECT *, CASE WHEN hits = '' THEN 0 ELSE len(string_split(hits, '|')) + 2 END + tier + 3 * coalesce(high, 0) AS base FROM g LEFT JOIN n USING (article_id, profile_id) LEFT JOIN b USING (article_id, profile_id) WHERE hits <> '' OR NOT is_noisy)
+SELECT article_id, profile_id, hits, tier, is_noisy, coalesce(signals, '') AS signals, CAST(CASE WHEN is_noisy THEN greatest(0, base - 1) ELSE base END + coalesce(boost, 0) AS INTEGER) AS priority FROM p"""
+
+
+@query(_ALL_GATES)
+def profile_gates(spark, sf_dir):
+    """Hits, tiers, boosts and priorities of three profiles, from one scan of the articles."""
+    out = many_profiles.prioritized_profiles(articles_v(spark, sf_dir).select("article_id", "source", "title", "summary", "raw_excerpt"), PROFILES)
+    signals = F.array_join(F.filter("boost_signals", lambda s: ~s.startswith("source_boost:")), "|")
+    return out.select("article_id", "profile_id", listed("keyword_hits").alias("hits"), "tier", "is_noisy", signals.alias("signals"), "priority")
+
+
 _RANKED = _G + f", ranked AS (SELECT *, row_number() OVER (ORDER BY priority DESC, coalesce(published_at, TIMESTAMP '{AS_OF}') DESC, published_at DESC NULLS LAST, collected_at DESC, article_id) AS rank FROM g WHERE hit OR NOT is_noisy)"
 
 

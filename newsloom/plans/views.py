@@ -39,6 +39,18 @@ PROFILE = Profile(
     default_watchlist=("Next release",),
 )
 
+#: Profiles that share sources and words with PROFILE, in other tiers and with other rules.
+PROFILES = [
+    PROFILE,
+    Profile(
+        id="markets", sources=tuple(Source(f"src{k}", tier=k % 3 + 1) for k in range(8)), noisy=frozenset({"src4", "src5", "src6", "src7", "src11"}),
+        tiers={"direct": ("price", "bank"), "strong": ("rate", "The", "ment"), "weak": ("oil", "de", "en")}, high_priority_tiers=("direct", "weak"), default_tier=4,
+        title_rules=(TitleRule("src0", r"\b(la|the)\b", "article_word"), TitleRule("src", "e$", "ends_in_e")),
+        entity_rules=(EntityRule("src1", (("Rate", ("rate", "taux")), ("Ion", ("ion",))), ("price", "Bank"), 2, 1, 3), EntityRule("src1", (("Ment", ("ment",)),), (), 1, 1, 2)),
+    ),
+    Profile(id="energy", sources=tuple(Source(f"src{k}") for k in (2, 6, 13, 16)), tiers={"strong": ("oil", "grid", "ver"), "extra": ("Oil", "tion")}, high_priority_tiers=("extra", "missing")),
+]
+
 
 def articles_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles_of(read_table(spark, sf_dir, "documents"))

@@ -1,13 +1,14 @@
 """Gates, merges, model stages, memos and streams on small rows."""
 
+from dataclasses import replace
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from newsloom.functions.replies import parse_score
-from newsloom.operators import gate, inference, merge, rank, scored
-from newsloom.plans.views import AS_OF, PROFILE, analyses_v, articles_v, scores_v
+from newsloom.operators import gate, inference, many_profiles, merge, rank, scored
+from newsloom.plans.views import AS_OF, PROFILE, PROFILES, analyses_v, articles_v, scores_v
 from newsloom.profiles import EntityRule, Profile, Source, TitleRule, for_profiles
 from newsloom.schemas import SCORES, TRACKER
 from newsloom.sources.collect import freeze_corpus
@@ -36,6 +37,39 @@ def test_gate_and_priority(spark):
     assert both.groupBy("profile_id").count().count() == 2
 
 
+def test_many_profiles_equal_one_by_one(spark, sf_dir):
+    articles = articles_v(spark, sf_dir).select(*(c.split()[0] for c in ART.split(", ")))
+    odd = [art(-1, "src1", None, None), art(-2, None, "rate oil", ""), art(-3, "src16", "", ""), art(-4, "elsewhere", "rate"), art(-5, "src4", "OIL Rate " * 3000)]
+    articles = articles.unionByName(spark.createDataFrame(odd + odd[:1], ART))
+    columns = ["article_id", "profile_id", "keyword_hits", "prefilter_hit", "tier", "is_noisy", "boost", "boost_signals", "priority"]
+    show = lambda df: sorted(map(repr, df.select(*columns).collect()))
+    one = lambda df, p: gate.prioritized(gate.gated(df.where(F.col("source").isin(many_profiles.listed_sources(p))), p), p)
+    # sources that a profile only names as noisy have its default tier in both
+    got = many_profiles.prioritized_profiles(articles, PROFILES)
+    assert got.columns == ["profile_id", *articles.columns, *columns[2:]]
+    assert show(got) == show(for_profiles(articles, PROFILES, one))
+    assert many_profiles.prioritized_profiles(articles.limit(0), PROFILES).count() == 0
+
+
+def test_many_profiles_scan_once(spark, sf_dir):
+    many = [replace(PROFILES[k % 3], id=f"p{k}") for k in range(200)]
+    got = many_profiles.prioritized_profiles(articles_v(spark, sf_dir), many)
+    assert got._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    sizes = {r["profile_id"]: r["count"] for r in got.groupBy("profile_id").count().collect()}
+    assert len(sizes) == 200 and all(n == sizes[f"p{int(p[1:]) % 3}"] for p, n in sizes.items())
+    with pytest.raises(ValueError):
+        many_profiles.prioritized_profiles(articles_v(spark, sf_dir), [PROFILE, PROFILE])
+
+
+def test_many_profiles_empty_words(spark):
+    p = Profile("e", sources=(Source("s"),), tiers={"direct": ("",), "strong": ("İx",)}, entity_rules=(EntityRule("s", (("Any", ("",)),)),))
+    rows = spark.createDataFrame([art(1, "s", "abc"), art(2, "s", None, None), art(3, "s", "İX")], ART)
+    columns = ["article_id", "keyword_hits", "boost", "priority"]
+    got, want = (sorted(map(tuple, df.select(*columns).collect())) for df in (many_profiles.prioritized_profiles(rows, [p]), gate.prioritized(gate.gated(rows, p), p)))
+    assert got == want
+    assert many_profiles.prioritized_profiles(rows, [Profile("none", sources=(Source("s"),))]).count() == 3
+
+
 def test_recency_edges(spark):
     as_of = "2024-01-10 00:00:00"
     rows = [(1, None), (2, datetime(2024, 1, 7)), (3, datetime(2024, 1, 6, 23, 59, 59)), (4, datetime(2025, 1, 1))]
