@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import dates, text
 from newsloom.operators import inference, merge, rank, scored, similarity
-from newsloom.plans.queries import _BLOB, _RANKED, _TS, query, scored_v, shown
-from newsloom.plans.views import AS_OF, MODELS, NOW, PROFILE, articles_of, articles_v
+from newsloom.plans.queries import _BLOB, _RANKED, _TS, ORACLE_SQL, query, scored_v, shown
+from newsloom.plans.views import AS_OF, MODELS, NOW, PROFILE, SQL_VIEWS, articles_of, articles_v, scores_v
 from newsloom.sources import collect, feeds, pages
 from newsloom.streaming import ingest
 from newsloom.tables import ensure_checkpoints, fresh_dir, read_table
@@ -74,6 +74,31 @@ def list_page_items(spark, sf_dir):
     return out.select(F.regexp_extract("page_url", r"/p(\d+)$", 1).cast("long").alias("article_id"), "title", "url", shown("published_at").alias("published"), "raw_excerpt")
 
 
+_DAY = "strftime(coalesce(published_at, TIMESTAMP '2020-02-02'), '%Y-%m-%d')"
+
+
+@query(f"""SELECT article_id, trim(title) AS title, CASE WHEN article_id % 2 = 0 THEN 'https://' || source || '.example.com' ELSE 'https://other.example.net' END || '/item/' || CASE WHEN article_id % 5 = 2 THEN {_DAY} || '/' ELSE '' END || article_id || '-x' AS url, {_DAY} || ' 00:00:00' AS published
+FROM articles_v WHERE (article_id % 2 = 0 OR source NOT IN ('src0', 'src1', 'src2')) AND length(trim(title)) >= 8 AND NOT regexp_matches(lower(trim(title)), '^(view all|more|next|prev|previous|一覧|戻る)')""")
+def list_page_forms(spark, sf_dir):
+    """Every document as a story of a list page whose title is an element of a class and whose date is in one of five
+    places (an element of a class, a time element, the link's address, the item's text, the page's address); half of the
+    links lead to another host, which some sources do not allow."""
+    a = articles_v(spark, sf_dir).withColumn("day", F.date_format(F.coalesce("published_at", F.lit("2020-02-02").cast("timestamp")), "yyyy-MM-dd"))
+    kind, number = F.col("article_id") % 5, F.col("article_id").cast("string")
+    when = lambda k, *parts: F.when(kind == k, F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))).otherwise("")
+    host = F.when(F.col("article_id") % 2 == 0, F.concat(F.lit("https://"), "source", F.lit(".example.com"))).otherwise("https://other.example.net")
+    html = F.concat(
+        F.lit('<nav><a href="/item/1">Home</a></nav><ul><li><a href="'), host, F.lit("/item/"), when(2, F.col("day"), "/"), number, F.lit('-x">Story: <b class="x t">'), _escaped("title"), F.lit("</b>"),
+        when(0, '<i class="d">', F.date_format(F.col("day").cast("date"), "dd MMM yyyy"), "</i>"), when(1, '<time datetime="', F.col("day"), '"></time>'), F.lit("</a>"), when(3, " of ", F.col("day")), F.lit("</li></ul>"),
+    )
+    page = F.concat(F.lit("https://"), "source", F.lit(".example.com/list/"), when(4, F.col("day"), "/"), F.lit("p"), number)
+    strings = lambda *w: F.array(*map(F.lit, w)).cast("array<string>")
+    allowed = F.when(F.col("source").isin("src0", "src1", "src2"), strings()).otherwise(strings("www.example.org", "Other.example.net"))
+    dims = a.select("source").distinct().select("source", strings("/item/").alias("link_patterns"), strings().alias("exclude_patterns"), allowed.alias("allowed_domains"), F.lit(False).alias("allow_pdf"), F.lit("t").alias("title_class"), F.lit("d").alias("date_class"), F.lit(0).alias("source_ord"))
+    out = pages.extract_links(a.select(page.alias("page_url"), "source", html.alias("html")), dims, ("yyyy/MM/dd", "dd MMM yyyy"))
+    return out.select(F.regexp_extract("page_url", r"/p(\d+)$", 1).cast("long").alias("article_id"), "title", "url", shown("published_at").alias("published"))
+
+
 @query(f"""SELECT url, CASE WHEN published_at IS NOT NULL THEN CASE article_id % 4 WHEN 0 THEN strftime(published_at - INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') WHEN 2 THEN strftime(published_at, '%Y-%m-%d 00:00:00') ELSE {_TS.format('published_at')} END END AS published, nullif(trim(title), '') AS description FROM articles_v""")
 def page_metadata(spark, sf_dir):
     """Every document's page with its date in one of four places (an offset, JSON-LD, a plain day, a time element)."""
@@ -140,6 +165,14 @@ def newest_first(spark, sf_dir):
     return collect.collect_order(articles_v(spark, sf_dir), AS_OF).limit(100).select("article_id", shown("published_at").alias("published"))
 
 
+@query(f"SELECT article_id, row_number() OVER (ORDER BY coalesce(published_at, TIMESTAMP '{AS_OF}') DESC, content_hash, article_id) AS place FROM articles_v")
+def collected_order(spark, sf_dir):
+    """All articles numbered in the order of collection."""
+    ensure_checkpoints(spark)
+    a = articles_v(spark, sf_dir).select("article_id", "published_at", "content_hash")
+    return rank.with_rank(a, [*collect.newest_keys(AS_OF), F.col("article_id")], "place").select("article_id", F.col("place").cast("long").alias("place"))
+
+
 @query("SELECT article_id, provider, summary, substring(coalesce(nullif(why_it_matters, ''), nullif(summary, ''), ''), 1, 500) AS raw_excerpt FROM scored_v")
 def scored_texts(spark, sf_dir):
     return similarity.scored_as_text(scored_v(spark, sf_dir)).select("article_id", "provider", "summary", "raw_excerpt")
@@ -221,6 +254,16 @@ def fresh_stream(spark, sf_dir):
     return _written(ingest.recency_stream(_articles_stream(spark, sf_dir), 72, AS_OF), "fresh", ["url"])
 
 
+@query(f"SELECT {_TS.format(chr(39).join(['date_trunc(', 'day', ', ts)']))} AS day, event_type AS source, count(*) AS n FROM events GROUP BY ALL")
+def streamed_source_counts(spark, sf_dir):
+    """Events per day and type as a stream whose windows are all written anew with each batch."""
+    events = ingest.read_items(spark, f"{sf_dir}/event[s].parquet", read_table(spark, sf_dir, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    path = fresh_dir(spark, "counts")
+    counted = ingest.source_counts_stream(events, "ts", "event_type").writeStream.outputMode("complete").option("checkpointLocation", fresh_dir(spark, "counts-state"))
+    counted.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path)).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path).select(shown("day").alias("day"), "source", "n")
+
+
 # ---- model stages and summaries -----------------------------------------------------------------------------------
 
 _ITEMS = "h AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY article_id) AS k FROM scored_v WHERE provider = 'p0')"
@@ -228,6 +271,19 @@ _WHEN = "coalesce(strftime(x.published_at, '%Y-%m-%dT%H:%M:%S') || 'Z', 'unknown
 _ANALYSIS = f"""'Assess this rated item.' || chr(10) || 'Title: ' || x.title || chr(10) || 'Source: ' || x.source || chr(10) || 'Link: ' || x.url || chr(10) || 'Date: ' || {_WHEN} || chr(10) || 'Category: ' || x.category || chr(10) || 'Signal: ' || x.signal || chr(10) || 'Rating: ' || x.relevance_score || chr(10) || 'Confidence: ' || x.confidence || chr(10) || 'Summary: ' || x.summary || chr(10) || 'Reason: ' || x.why_it_matters || chr(10) || 'Other items:' || chr(10) || coalesce(r.lines, '(none)')"""
 
 
+def _no_model(prompts: list[str]) -> list[str | None]:
+    raise RuntimeError("every reply is in the log")
+
+
+@query(ORACLE_SQL["score_stage"].partition(SQL_VIEWS)[2])
+def logged_scores(spark, sf_dir):
+    """The scoring stage with a log of replies, run again with a model that fails: all its replies come from the log."""
+    log = inference.ReplyLog(fresh_dir(spark, "replies"), "p0/m0")
+    for infer in (inference.rule_based_infer, _no_model):
+        new, _ = inference.score(articles_v(spark, sf_dir), scores_v(spark, sf_dir), infer, PROFILE, "p0", "m0", NOW, log=log)
+    return new.select("article_id", "relevance_score", "provider")
+
+
 @query(f""", {_ITEMS},
 r AS (SELECT article_id, string_agg(line, chr(10) ORDER BY k) AS lines FROM (SELECT x.article_id, y.k, '- [' || y.relevance_score || '] ' || y.title || ' (' || y.source || ')' AS line, row_number() OVER (PARTITION BY x.article_id ORDER BY y.k) AS n FROM h x JOIN h y ON y.source = x.source AND y.k <= 9 AND y.article_id <> x.article_id) WHERE n <= 8 GROUP BY article_id)
 SELECT x.article_id, 'other' AS category, 'n/a' AS entity, 'length ' || length({_ANALYSIS}) AS impact, 'Monitor only' AS suggested_action FROM h x LEFT JOIN r USING (article_id)""")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.dates import enrich_published_at
@@ -29,9 +29,13 @@ def union_sources(spark: SparkSession, sources: DataFrame, readers: dict[str, Re
     return rows, rejected
 
 
-def collect_order(articles: DataFrame, as_of: str) -> DataFrame:
+def newest_keys(as_of: str) -> list[Column]:
     """Newest first; undated rows count as now."""
-    return articles.orderBy(F.coalesce("published_at", F.lit(as_of).cast("timestamp")).desc(), "content_hash")
+    return [F.coalesce("published_at", F.lit(as_of).cast("timestamp")).desc(), F.col("content_hash")]
+
+
+def collect_order(articles: DataFrame, as_of: str) -> DataFrame:
+    return articles.orderBy(*newest_keys(as_of))
 
 
 def collect(items: DataFrame, articles: DataFrame, sources: DataFrame, hours: int, as_of: str, metadata: DataFrame | None = None) -> DataFrame:

@@ -240,3 +240,57 @@ def test_the_model_is_called_once(spark, tmp_path):
     arts = spark.createDataFrame(rows, "article_id long, source string, title string, url string, summary string, raw_excerpt string, published_at timestamp, collected_at timestamp")
     good, bad = inference.score(arts, spark.createDataFrame([], "article_id long, provider string, model string"), infer, PROFILE, "p", "m", AS_OF, 1)
     assert good.count() == 5 and good.count() == 5 and bad.count() == 0 and calls.read_text() == "xxxxx"
+
+
+def counted(folder, dies_at=None):
+    """A model that notes each call in a folder, and once kills its worker at a call."""
+    def infer(prompts):
+        import os
+        import uuid
+
+        if dies_at is not None and len(os.listdir(folder)) >= dies_at and not os.path.exists(f"{folder}-died"):
+            open(f"{folder}-died", "w").close()
+            os._exit(1)
+        if any("fails" in p for p in prompts):
+            raise ValueError
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write("\n".join(prompts))
+        return [f"re {p}" for p in prompts]
+
+    return infer
+
+
+def asked(folder):
+    return sorted(p for f in folder.iterdir() for p in f.read_text().split("\n"))
+
+
+def test_reply_log_goes_on_after_a_lost_worker(spark, tmp_path):
+    calls, log = tmp_path / "calls", inference.ReplyLog(f"file://{tmp_path}/log", "m")
+    calls.mkdir()
+    rows = spark.range(400).select("id", F.concat(F.lit("p"), F.col("id") % 200).alias("prompt"))
+    with pytest.raises(Exception, match="worker"):
+        inference.with_replies(rows, counted(calls, dies_at=8), calls_at_once=3, batch=10, log=log)
+    before = len(asked(calls))
+    assert 80 <= before < 200
+    got = inference.with_replies(rows, counted(calls), calls_at_once=5, batch=7, log=log)
+    assert got.where("reply = concat('re ', prompt)").count() == 400
+    # a batch that others had in flight when the job ended may be asked again; nothing that was written is
+    assert len(set(asked(calls))) == 200 and len(asked(calls)) <= 200 + 2 * 10
+    again = len(asked(calls))
+    assert inference.with_replies(rows, counted(calls), log=log).where("reply IS NULL").count() == 0
+    assert len(asked(calls)) == again
+    small = log.compact(spark, f"file://{tmp_path}/small")
+    assert sorted(small.read(spark).collect()) == sorted(log.read(spark).collect())
+    assert inference.ReplyLog(log.path, "other").read(spark).count() == 0
+
+
+def test_reply_log_asks_failed_calls_again(spark, tmp_path):
+    calls, log = tmp_path / "calls", inference.ReplyLog(f"file://{tmp_path}/log", "m")
+    calls.mkdir()
+    rows = spark.createDataFrame([(1, "a"), (2, "b fails"), (3, None), (4, ""), (5, "a")], "id int, prompt string").coalesce(1)
+    show = lambda df: {r["id"]: r["reply"] for r in df.collect()}
+    assert show(inference.with_replies(rows, counted(calls), log=log)) == {1: "re a", 2: None, 3: None, 4: "re ", 5: "re a"}
+    assert show(inference.with_replies(rows, counted(calls), log=log))[2] is None
+    assert show(inference.with_replies(rows, lambda ps: [f"now {p}" for p in ps], log=log)) == {1: "re a", 2: "now b fails", 3: None, 4: "re ", 5: "re a"}
+    assert asked(calls) == ["", "a"]
+    assert inference.with_replies(rows.limit(0), counted(calls), log=log).count() == 0
