@@ -13,7 +13,7 @@ from newsloom.functions import dates, text
 from newsloom.operators import inference, merge, rank, scored, similarity
 from newsloom.plans.queries import _BLOB, _RANKED, _TS, ORACLE_SQL, query, scored_v, shown
 from newsloom.plans.views import AS_OF, MODELS, NOW, PROFILE, SQL_VIEWS, articles_of, articles_v, scores_v
-from newsloom.sources import collect, feeds, pages
+from newsloom.sources import collect, feeds, pages, sql_functions
 from newsloom.streaming import ingest
 from newsloom.tables import ensure_checkpoints, fresh_dir, read_table
 
@@ -101,6 +101,26 @@ def list_page_forms(spark, sf_dir):
 
 @query(f"""SELECT url, CASE WHEN published_at IS NOT NULL THEN CASE article_id % 4 WHEN 0 THEN strftime(published_at - INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') WHEN 2 THEN strftime(published_at, '%Y-%m-%d 00:00:00') ELSE {_TS.format('published_at')} END END AS published, nullif(trim(title), '') AS description FROM articles_v""")
 def page_metadata(spark, sf_dir):
+    """The date and the description of every document's page."""
+    return pages.extract_page_metadata(_dated_pages(spark, sf_dir)).select("url", shown("meta_published_at").alias("published"), "description")
+
+
+@query(ORACLE_SQL["page_metadata"].partition(SQL_VIEWS)[2])
+def page_metadata_lateral(spark, sf_dir):
+    """The same by a function of SQL, whose candidates are parsed as columns."""
+    sql_functions.register(spark)
+    rows = spark.sql("SELECT p.url, m.date_candidates, m.description FROM {pages} p, LATERAL page_metadata(p.html) m", pages=_dated_pages(spark, sf_dir))
+    return rows.select("url", shown(F.get(F.filter(F.transform("date_candidates", dates.parse_iso), lambda t: t.isNotNull()), 0)).alias("published"), "description")
+
+
+@query(r"""SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS href, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS title FROM pages""")
+def page_links_lateral(spark, sf_dir):
+    """The links of all pages by a function of SQL."""
+    sql_functions.register(spark)
+    return spark.sql("SELECT p.page_id, l.href, l.title FROM {pages} p, LATERAL page_links(p.url, p.html) l", pages=read_table(spark, sf_dir, "pages"))
+
+
+def _dated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's page with its date in one of four places (an offset, JSON-LD, a plain day, a time element)."""
     a = articles_v(spark, sf_dir)
     iso = F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss")
@@ -113,7 +133,7 @@ def page_metadata(spark, sf_dir):
         .otherwise(quoted('<time datetime="', F.concat(iso, F.lit("Z")), '">then</time>'))
     )
     html = F.concat(F.lit("<html><head>"), date, F.lit('<meta name="description" content="'), _escaped("title", True), F.lit('"></head></html>'))
-    return pages.extract_page_metadata(a.select("url", html.alias("html"))).select("url", shown("meta_published_at").alias("published"), "description")
+    return a.select("url", html.alias("html"))
 
 
 @query(f"""SELECT article_id, {_TS.format("coalesce(published_at, collected_at)")} AS published, CASE WHEN article_id % 3 = 0 THEN substring(title, 1, 2000) ELSE summary END AS summary, CASE WHEN article_id % 3 = 0 AND raw_excerpt = '' THEN substring(title, 1, 500) ELSE raw_excerpt END AS raw_excerpt FROM articles_v""")

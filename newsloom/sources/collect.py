@@ -19,11 +19,20 @@ Reader = Callable[[SparkSession, DataFrame], tuple[DataFrame, DataFrame | None]]
 
 
 def union_sources(spark: SparkSession, sources: DataFrame, readers: dict[str, Reader]) -> tuple[DataFrame | None, DataFrame | None]:
-    """(articles, rejected) of all kinds that have a reader; other kinds are skipped."""
+    """(articles, rejected) of all kinds that have a reader; other kinds are skipped.
+
+    A reader that raises (a folder that is missing, say) does not stop the others: its sources are among the rejected
+    rows, with the error as ``_corrupt``.  If all readers raise there are no articles (None).
+    """
     rows, rejected = None, None
     for kind, reader in readers.items():
-        own, bad = reader(spark, sources.where(F.col("kind") == kind))
-        rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
+        listed = sources.where(F.col("kind") == kind)
+        try:
+            own, bad = reader(spark, listed)
+        except Exception as error:
+            own, bad = None, listed.select("source", F.lit(f"{type(error).__name__}: {error}").alias("_corrupt"))
+        if own is not None:
+            rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
         if bad is not None:
             rejected = bad if rejected is None else rejected.unionByName(bad, allowMissingColumns=True)
     return rows, rejected

@@ -3,11 +3,13 @@
 from datetime import datetime
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from newsloom.functions.dates import enrich_published_at, parse_date_text, parse_feed_date, parse_iso, selector_date
 from newsloom.functions.text import html_unescape, resolve_url, strip_html
 from newsloom.profiles import Profile, Source, sources_table
+from newsloom.sources import sql_functions
 from newsloom.sources.collect import collect, union_sources, write_side_by_side
 from newsloom.sources.feeds import read_feed_items
 from newsloom.sources.pages import extract_links, extract_page_metadata, fill_from_metadata
@@ -112,3 +114,33 @@ def test_collect_end_to_end(spark, feeds, tmp_path):
     assert got["https://x.example.com/a/2"]["published_at"] == datetime(2024, 3, 6) and all(r["is_new"] for r in got.values())
     write_side_by_side(rows.select("title", "url"), str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == rows.count()
+
+
+def test_one_failing_kind_does_not_stop_the_rest(spark, feeds):
+    path, dims = feeds
+    dims = dims.unionByName(dims.limit(1).withColumn("source", F.lit("z")).withColumn("kind", F.lit("html")))
+
+    def gone(s, d):
+        return s.read.parquet(f"{path}/missing"), None
+
+    rows, bad = union_sources(spark, dims, {"html": gone, "rss": lambda s, d: read_feed_items(s, path, d)})
+    assert sorted(r["source"] for r in rows.collect()) == ["x", "x", "y"]
+    assert [(r["source"], "PATH_NOT_FOUND" in r["_corrupt"]) for r in bad.collect()] == [("z", True)]
+    rows, bad = union_sources(spark, dims, {"html": gone})
+    assert rows is None and bad.count() == 1
+
+
+def test_lateral_functions(spark):
+    sql_functions.register(spark)
+    html = '<li><a href="/a">x <b class="t u">Title</b><i class="d">5 May 2024</i></a> late</li><a name="n">no</a><a href=" /b ">B</a>'
+    pages = spark.createDataFrame([(1, "https://h.example.com/l/", html), (2, "https://h.example.com/", None), (3, None, ""), (4, None, '<a href="//[x">bad</a><a href="q">Q</a>')], "id int, url string, html string")
+    got = spark.sql("SELECT p.id, l.* FROM {p} p, LATERAL page_links(p.url, p.html, 't', 'd') l", p=pages).orderBy("id", "pos").collect()
+    assert [(r["id"], r["href"], r["resolved"], r["title"], r["date_text"], r["pos"]) for r in got] == [
+        (1, "/a", "https://h.example.com/a", "Title", "5 May 2024", 0), (1, "/b", "https://h.example.com/b", "B", None, 1), (4, "q", "q", "Q", None, 1),
+    ]
+    assert spark.sql("SELECT l.title FROM {p} p, LATERAL page_links(p.url, p.html) l WHERE p.id = 1", p=pages).collect()[0]["title"] == "xTitle5 May 2024"
+    meta = spark.sql("SELECT m.* FROM LATERAL page_metadata('<meta name=\"date\" content=\"2024-01-02\"><meta name=\"description\" content=\" d \">') m").collect()
+    assert [tuple(r) for r in meta] == [(["2024-01-02"], "d")]
+    for wrong in ("page_links('u')", "page_metadata(1)", "page_metadata(TABLE(SELECT 1 AS a))"):
+        with pytest.raises(AnalysisException):
+            spark.sql(f"SELECT * FROM {wrong}").collect()
