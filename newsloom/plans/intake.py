@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import dates, text
-from newsloom.operators import inference, merge, rank, scored, similarity
+from newsloom.operators import inference, keyed, merge, rank, scored, similarity
 from newsloom.plans.queries import _BLOB, _RANKED, _TS, ORACLE_SQL, query, scored_v, shown
 from newsloom.plans.views import AS_OF, MODELS, NOW, PROFILE, SQL_VIEWS, articles_of, articles_v, scores_v
+from newsloom.schemas import SCORE_KEY
 from newsloom.sources import collect, feeds, pages, sql_functions
 from newsloom.streaming import ingest
 from newsloom.tables import ensure_checkpoints, fresh_dir, read_table
@@ -291,6 +292,18 @@ _WHEN = "coalesce(strftime(x.published_at, '%Y-%m-%dT%H:%M:%S') || 'Z', 'unknown
 _ANALYSIS = f"""'Assess this rated item.' || chr(10) || 'Title: ' || x.title || chr(10) || 'Source: ' || x.source || chr(10) || 'Link: ' || x.url || chr(10) || 'Date: ' || {_WHEN} || chr(10) || 'Category: ' || x.category || chr(10) || 'Signal: ' || x.signal || chr(10) || 'Rating: ' || x.relevance_score || chr(10) || 'Confidence: ' || x.confidence || chr(10) || 'Summary: ' || x.summary || chr(10) || 'Reason: ' || x.why_it_matters || chr(10) || 'Other items:' || chr(10) || coalesce(r.lines, '(none)')"""
 
 
+@query(ORACLE_SQL["upsert_scores"].partition(SQL_VIEWS)[2])
+def bucketed_upsert(spark, sf_dir):
+    """Scores in a bucketed table, and each fourth article's merged where it lies."""
+    s = scores_v(spark, sf_dir)
+    path = fresh_dir(spark, "scores")
+    table = keyed.KeyedTable(f"scores_{path[-12:]}", tuple(SCORE_KEY), parts=16, buckets=8)
+    table.create(s, path)
+    changes = s.where("article_id % 4 = 0").withColumn("relevance_score", F.lit(-1)).withColumn("scored_at", F.lit(NOW).cast("timestamp"))
+    table.merge(changes, lambda old, new: keyed.latest(old, new, table.key, "scored_at"))
+    return table.read(spark).select("article_id", "provider", "model", "relevance_score")
+
+
 def _no_model(prompts: list[str]) -> list[str | None]:
     raise RuntimeError("every reply is in the log")
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.functions.replies import parse_score
-from newsloom.operators import gate, inference, many_profiles, merge, rank, scored
+from newsloom.operators import gate, inference, keyed, many_profiles, merge, rank, scored
 from newsloom.plans.views import AS_OF, PROFILE, PROFILES, analyses_v, articles_v, scores_v
 from newsloom.profiles import EntityRule, Profile, Source, TitleRule, for_profiles
 from newsloom.schemas import SCORES, TRACKER
@@ -294,3 +294,33 @@ def test_reply_log_asks_failed_calls_again(spark, tmp_path):
     assert show(inference.with_replies(rows, lambda ps: [f"now {p}" for p in ps], log=log)) == {1: "re a", 2: "now b fails", 3: None, 4: "re ", 5: "re a"}
     assert asked(calls) == ["", "a"]
     assert inference.with_replies(rows.limit(0), counted(calls), log=log).count() == 0
+
+
+def test_bucketed_merge(spark, tmp_path):
+    table = keyed.KeyedTable(f"keyed_{tmp_path.name}", ("k", "m"), parts=16, buckets=4)
+    schema = "k long, note string, m string, at timestamp"
+    day = lambda d: d and datetime(2024, 1, d)
+    old = spark.createDataFrame([(k, f"old{k}", "ab"[k % 2], day(5) if k % 7 else None) for k in range(300)], schema)
+    table.create(old, str(tmp_path / "t"))
+    files = lambda: {str(f): f.stat().st_mtime_ns for f in (tmp_path / "t").rglob("*.parquet")}
+    before = files()
+    rows = [(1, "late", "b", day(6)), (1, "latest", "b", day(7)), (2, "early", "a", day(4)), (3, "tie", "b", day(5)), (3, "tie2", "b", day(5)), (7, "x", "b", None), (4, None, "a", None), (900, "new", "a", day(1))]
+    changes = spark.createDataFrame(rows, schema)
+    show = lambda df: sorted(map(repr, df.select("k", "m", "note", "at").collect()))
+    want = show(merge.last_wins(old, changes, ["k", "m"], "at"))
+    step = lambda cur, new: keyed.latest(cur, new, table.key, "at")
+    # only the changes are shuffled
+    plan = step(table.touched(changes), changes)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    scan = text[: text.index("FileScan")]
+    assert "Bucketed: true" in text and "PartitionFilters: [part" in text and "Exchange" not in scan.split("SortMergeJoin")[-1]
+    table.merge(changes.unionByName(spark.createDataFrame([(None, "no key", "a", day(9))], schema)), step)
+    assert show(table.read(spark)) == want
+    after = files()
+    parts = {r["part"] for r in changes.select(table.part().alias("part")).collect()}
+    kept = {f for f in before if int(f.split("part=")[1].split("/")[0]) not in parts}
+    assert kept and all(after[f] == before[f] for f in kept) and not (before.keys() - kept) & after.keys()
+    table.merge(changes.limit(0), step)
+    assert show(table.read(spark)) == want
+    probe = spark.createDataFrame([(1, "b"), (1, "a"), (901, "a")], "k long, m string")
+    assert sorted(map(tuple, table.new_rows(probe).collect())) == [(1, "a"), (901, "a")]
