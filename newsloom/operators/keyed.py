@@ -47,6 +47,11 @@ class KeyedTable:
         """The rows whose key the table lacks."""
         return rows.join(self.touched(rows).select(*self.key), list(self.key), "left_anti")
 
+    def append(self, rows: DataFrame) -> None:
+        """Add rows whose keys are new to the table and unique."""
+        columns = rows.sparkSession.table(self.name).columns
+        rows.withColumn("part", self.part()).repartition(self.buckets, *self.key).select(*columns).write.insertInto(self.name)
+
     def merge(self, changes: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
         """Replace the touched partitions by ``step(their rows, changes)``, whose keys must be keys of either.
 

@@ -257,6 +257,17 @@ def ingested_stream(spark, sf_dir):
     return ingest.read_table(spark, path, schema).select("content_hash", "source")
 
 
+@query("SELECT DISTINCT content_hash, source FROM articles_v")
+def ingested_keyed_stream(spark, sf_dir):
+    """All documents as a stream into a bucketed table; a second stream over the same files adds nothing."""
+    path = fresh_dir(spark, "articles")
+    table = keyed.KeyedTable(f"articles_{path[-12:]}", ("content_hash",), parts=16, buckets=8)
+    table.create(spark.createDataFrame([], f"article_id long, {_STREAMED}"), path)
+    for _ in range(2):
+        ingest.ingest_keyed(_articles_stream(spark, sf_dir), table, fresh_dir(spark, "keyed-state")).awaitTermination()
+    return table.read(spark).select("content_hash", "source")
+
+
 def _written(stream: DataFrame, name: str, columns: list[str]) -> DataFrame:
     spark, path = stream.sparkSession, fresh_dir(stream.sparkSession, name)
     rows = stream.select(*columns)

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from newsloom.functions.text import content_hash
 from newsloom.operators.gate import within_recency
 from newsloom.operators.inference import Infer, score
+from newsloom.operators.keyed import KeyedTable
 from newsloom.operators.merge import insert_new_articles
 from newsloom.operators.rank import rank_for_scoring
 from newsloom.operators.scored import unscored
@@ -89,6 +90,17 @@ def ingest_stream(items: DataFrame, path: str, schema: str, checkpoint: str, pre
     return items.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_keyed(items: DataFrame, table: KeyedTable, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """``ingest_stream`` into a table that is keyed by content_hash: a batch meets only the partitions that hold its keys,
+    and the table's keys are not shuffled.  A batch that runs again adds only the rows that it had not added."""
+    def add(batch: DataFrame, number: int) -> None:
+        fresh = table.new_rows(prepare(batch) if prepare else batch)
+        known = table.read(batch.sparkSession).select("content_hash", "article_id").limit(0)
+        table.append(insert_new_articles(known, fresh).where("is_new"))
+
+    return items.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def score_pending(articles: DataFrame, path: str, schema: str, infer: Infer, p: Profile, provider: str, model: str, as_of: str, run: int, **limits) -> None:
     """Rank all articles that this model has not scored, score the best of them and append the scores as batch ``run``.
 

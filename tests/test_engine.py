@@ -324,3 +324,16 @@ def test_bucketed_merge(spark, tmp_path):
     assert show(table.read(spark)) == want
     probe = spark.createDataFrame([(1, "b"), (1, "a"), (901, "a")], "k long, m string")
     assert sorted(map(tuple, table.new_rows(probe).collect())) == [(1, "a"), (901, "a")]
+
+
+def test_keyed_stream_adds_each_key_once(spark, tmp_path):
+    table = keyed.KeyedTable(f"stream_{tmp_path.name}", ("content_hash",), parts=4, buckets=2)
+    schema = "content_hash string, url string, collected_at timestamp"
+    table.create(spark.createDataFrame([(1, "h0", "known", datetime(2024, 1, 1))], f"article_id long, {schema}"), str(tmp_path / "t"))
+    for k, rows in enumerate([[("h0", "u"), ("h1", "a"), ("h1", "b")], [("h1", "c"), ("h2", "d")], []]):
+        spark.createDataFrame([(*r, datetime(2024, 1, 2)) for r in rows], schema).coalesce(1).write.parquet(str(tmp_path / "landed" / f"b{k}"))
+    items = ingest.read_items(spark, str(tmp_path / "landed" / "*"), schema, maxFilesPerTrigger="1")
+    for state in ("s", "s", "again"):
+        ingest.ingest_keyed(items, table, str(tmp_path / state)).awaitTermination()
+    assert sorted((r["content_hash"], r["url"]) for r in table.read(spark).collect() if r["content_hash"] != "h1") == [("h0", "known"), ("h2", "d")]
+    assert table.read(spark).where("content_hash = 'h1'").count() == 1
