@@ -382,15 +382,15 @@ def test_html(spark):
     assert html_extract.extract_text(df.limit(0)).count() == 0
 
 
-LONG = "The story goes on for a while. " * 12
+STORY = "The story goes on for a while. " * 12
 
 
 @pytest.mark.parametrize(
     ("html", "text"),
     [
-        (f'<div class="layout has-sidebar"><article><p>{LONG}</p></article></div>', LONG), (f'<div id="page" class="header-fixed"><main><p>{LONG}</p></main></div>', LONG), (f'<form id="aspnetForm"><article><p>{LONG}</p></article></form>', LONG),
-        (f'<article><p>{LONG}</p><section id="related-work"><p>Work before.</p></section></article>', f"{LONG}\nWork before."), (f'<div class="story"><p>{LONG}</p></div><article class="card"><p>Card</p></article>', f"{LONG}\nCard"),
-        (f'<article><p>{LONG}</p><div class="related"><p>More</p></div></article><div class="sidebar"><article><p>Other</p></article></div>', LONG),
+        (f'<div class="layout has-sidebar"><article><p>{STORY}</p></article></div>', STORY), (f'<div id="page" class="header-fixed"><main><p>{STORY}</p></main></div>', STORY), (f'<form id="aspnetForm"><article><p>{STORY}</p></article></form>', STORY),
+        (f'<article><p>{STORY}</p><section id="related-work"><p>Work before.</p></section></article>', f"{STORY}\nWork before."), (f'<div class="story"><p>{STORY}</p></div><article class="card"><p>Card</p></article>', f"{STORY}\nCard"),
+        (f'<article><p>{STORY}</p><div class="related"><p>More</p></div></article><div class="sidebar"><article><p>Other</p></article></div>', STORY),
     ],
 )
 def test_wrappers_do_not_hide_the_article(spark, html, text):
@@ -433,8 +433,8 @@ def test_encoder_equals_library(monkeypatch):
         ids, counts = own(pa.array(texts))
         want = [e.ids for e in lib.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == list(map(len, want)), texts
-    parts = token_store.pieces_of(LONG, 1000)
-    assert " ".join(parts) == LONG and max(map(len, parts)) <= 1000 and token_store.pieces_of("x" * 50, 10) == ["x" * 50]
+    parts = token_store.pieces_of(STORY, 1000)
+    assert " ".join(parts) == STORY and max(map(len, parts)) <= 1000 and token_store.pieces_of("x" * 50, 10) == ["x" * 50]
     assert list(token_store.runs_of(pa.array(["aaa", None, "bb", "cccccc", "d"]), 5)) == [(0, 3), (3, 4), (4, 5)]
 
 
