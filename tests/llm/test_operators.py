@@ -665,3 +665,72 @@ def test_pseudonym_keys_and_edges(spark):
     assert "01.2.3.4" in got[0] and "and 1.2.3.4" not in got[0]
     local = got[1].split(" ")[1].split("@")[0]
     assert local[1] == "ü" and local[0] + local[2:] != "mller" and len(local) == 6 and got[2] != texts[2]
+
+
+def plain_articles(rows, run=8):
+    """Text of pages with articles, by counting every run in every different article of its host."""
+    blocks = [[(z, t.split(" ")) for z, t in html_extract.blocks_of(h) if z in (html_extract.ARTICLE, html_extract.LOOSE)] for _, _, h in rows]
+    streams = [tuple(w for _, t in b for w in t) for b in blocks]
+    spans = lambda w: [tuple(w[k : k + run]) for k in range(max(len(w) - run, 0) + 1)]
+    articles, seen = collections.defaultdict(set), collections.defaultdict(set)
+    for (_, url, _), w in zip(rows, streams, strict=True):
+        articles[html_extract.host_of(url)].add(w)
+        for s in spans(w):
+            seen[(html_extract.host_of(url), s)].add(w)
+    out = []
+    for (_, url, _), b, w in zip(rows, blocks, streams, strict=True):
+        host = html_extract.host_of(url)
+        n = len(articles[host])
+        gone = [{k + j for k, s in enumerate(spans(w)) if len(seen[(host, s)]) >= least for j in range(run)} for least in (max(3, n / 2), max(5, n * 2 / 3))]
+        at, sized = 0, []
+        for z, t in b:
+            sized.append((z, " ".join(t), len(t), *(sum(p in g for p in range(at, at + len(t))) for g in gone)))
+            at += len(t)
+        body = [x for x in sized if x[0] == html_extract.ARTICLE] or sized
+        copied = 2 * sum(x[3] for x in body) >= sum(x[2] for x in body)
+        out.append("\n".join(x[1] for x in sized if copied or 2 * x[4 if x[0] == html_extract.ARTICLE else 3] < x[2]))
+    return out
+
+
+@pytest.mark.parametrize("shard_pages", [128, 2])
+def test_host_runs_inside_articles(spark, monkeypatch, shard_pages):
+    """What most articles of a host repeat goes; copies, near copies, shared passages and lists of their own stay."""
+    r = random.Random(11)
+    line = lambda n: " ".join(r.choice(VOCAB) + str(r.randint(0, 30)) for _ in range(n))
+    rows, want = [], []
+
+    def page(host, html, text):
+        rows.append((len(rows), f"https://{host}.org/{len(rows)}", f"<nav>{line(3)}</nav>{html}"))
+        want.append(text)
+
+    sign, share, legal, passage = line(14), [line(2) for _ in range(6)], line(16), line(20)
+    for k in range(8):
+        own, items, work = line(40), [line(3), line(4)], line(9)
+        head = f"<article><h1>{items[0]}</h1><ul>{''.join(f'<li>{x}' for x in share)}</ul><p>{own}</p>"
+        quote = f"<p>{passage}</p><div>{passage}</div>" if k < 3 else ""
+        tail = f"<ul><li>{items[0]}<li>{items[1]}</ul><section class='newsletter-box'><p>{sign}</p></section><section id='related-work'><p>{work}</p></section><div>{sign} {line(2)}</div><p>{legal}</p></article>"
+        page("a", head + quote + tail, "\n".join([items[0], own] + [passage] * (2 * (k < 3)) + [*items, work]))
+    story = [line(30) for _ in range(4)]
+    for k in range(4):  # copies of an article, near copies of another one in bare divs, copies with a list
+        page("b", f"<article>{''.join(f'<div>{x}</div>' for x in story)}</article>", "\n".join(story))
+        page("c", f"<article>{''.join(f'<div>{x}</div>' for x in story)}<div>edit{k}</div></article>", "\n".join([*story, f"edit{k}"]))
+        page("d", f"<article><p>{story[0]}</p><p>{story[1]}</p><div>{story[2]}</div><p>edit{k}</p></article>", "\n".join([*story[:3], f"edit{k}"]))
+    rows.append(rows[0])
+    want.append(want[0])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    monkeypatch.setattr(html_extract, "SHARD_PAGES", shard_pages)
+    assert plain_articles(rows) == want
+    for most in (50_000, 0):
+        monkeypatch.setattr(html_extract, "MOST_BROADCAST", most)
+        got = collections.Counter((x["page_id"], x["text"]) for x in html_extract.extract_text(df.repartition(3)).collect())
+        assert got == collections.Counter((p[0], t) for p, t in zip(rows, want, strict=True))
+
+
+def test_host_runs_on_a_long_page(spark):
+    """Pages of many tokens and blocks, with and without an article, take time in proportion."""
+    own = [" ".join(f"w{k}x{j}" for j in range(20)) for k in range(3000)]
+    menu = " ".join(f"menu{j}" for j in range(12))
+    rows = [(k, f"https://long.org/{k}", f"<div>{menu}</div>" + "".join(f"<div>{x} {k}</div>" for x in own[k * 1000 : k * 1000 + 1000]) * (2 if k else 5)) for k in range(3)]
+    rows += [(3 + k, f"https://art.org/{k}", f"<article>{h}</article>") for k, (_, _, h) in enumerate(rows)]
+    got = {r["page_id"]: r["text"].split("\n") for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [len(got[k]) for k in range(6)] == [5000, 2000, 2000] * 2 and not any(menu in t for t in got.values())
