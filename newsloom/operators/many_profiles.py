@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from newsloom.operators.gate import noisy_hits, with_lower
+from newsloom.operators.gate import noisy_hits, title_pattern, with_lower
 from newsloom.profiles import Profile
 
 _ROLES = ("direct", "strong", "weak", "general", "words")
@@ -35,7 +35,7 @@ def source_rules(spark: SparkSession, profiles: list[Profile]) -> DataFrame:
         tiers = {s.id: s.tier for s in p.sources}
         high = [list(p.tiers[t]) for t in p.high_priority_tiers if p.tiers.get(t)]
         for source in listed_sources(p):
-            titles = [(f"(?i){r.pattern}", r.tag) for r in p.title_rules if source.startswith(r.source_prefix)]
+            titles = [(title_pattern(r.pattern), r.tag) for r in p.title_rules if source.startswith(r.source_prefix)]
             own = [r for r in p.entity_rules if r.source_id == source]
             rules = [([(name, list(aliases)) for name, aliases in r.entities], list(r.context_keywords), r.entity_bonus, r.context_bonus, r.max_bonus) for r in own]
             rows.append((p.id, source, tiers.get(source, p.default_tier), source in p.noisy, titles, rules, high))

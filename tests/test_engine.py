@@ -51,6 +51,17 @@ def test_many_profiles_equal_one_by_one(spark, sf_dir):
     assert many_profiles.prioritized_profiles(articles.limit(0), PROFILES).count() == 0
 
 
+def test_title_rules_have_ascii_words(spark):
+    """Java 17 takes letters beyond ASCII for parts of words, RE2 and later Javas do not."""
+    p = Profile("w", sources=(Source("s"),), title_rules=(TitleRule("s", r"\b(ou|y)\b", "word"), TitleRule("s", r"^k\\b|x\Bz", "other"), TitleRule("s", "école", "school")))
+    titles = ["Anaieux éé èçou éç.", "ÉÉOU!!", "you", "çyç", "ou", "K\\b", "xz", "x z", "L'ÉCOLE", None]
+    rows = spark.createDataFrame([art(k, "s", t) for k, t in enumerate(titles)], ART)
+    want = [["word"], ["word"], [], ["word"], ["word"], ["other"], ["other"], [], ["school"], []]
+    assert [r["keyword_hits"] for r in gate.annotate(rows, p).orderBy("article_id").collect()] == want
+    # no hit is an empty list here, as there
+    assert [r["keyword_hits"] for r in many_profiles.prioritized_profiles(rows, [p]).orderBy("article_id").collect()] == want
+
+
 def test_many_profiles_scan_once(spark, sf_dir):
     many = [replace(PROFILES[k % 3], id=f"p{k}") for k in range(200)]
     got = many_profiles.prioritized_profiles(articles_v(spark, sf_dir), many)
