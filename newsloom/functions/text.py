@@ -43,9 +43,27 @@ def _unescape(text: pd.Series) -> pd.Series:
     return text.map(unescape, na_action="ignore")
 
 
-def html_unescape(text: Column) -> Column:
-    """Character references decoded; texts without ``&`` never leave the JVM's value."""
-    return F.when(text.contains("&"), _unescape(F.when(text.contains("&"), text))).otherwise(text)
+#: A character reference with its semicolon.
+_CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+@F.pandas_udf(StringType())
+def _unescape_closed(text: pd.Series) -> pd.Series:
+    from html import unescape
+    from html.entities import html5
+
+    decoded = lambda m: unescape(m[0]) if m[0][1] == "#" else html5.get(m[0][1:], m[0])
+    return text.map(lambda t: _CLOSED.sub(decoded, t), na_action="ignore")
+
+
+def html_unescape(text: Column, closed: bool = False) -> Column:
+    """Character references decoded; texts without ``&`` never leave the JVM's value.
+
+    As in HTML, old names count without a semicolon too (``&amp`` at the end of a text that was cut, say); with ``closed``
+    only references that end in one are decoded.
+    """
+    decode = _unescape_closed if closed else _unescape
+    return F.when(text.contains("&"), decode(F.when(text.contains("&"), text))).otherwise(text)
 
 
 def latin_identifiers(text: Column) -> Column:

@@ -104,6 +104,13 @@ def test_text_helpers(spark):
     assert list(urls) == ["http://z/", "https://z/q", "https://h.example.com/r", "https://h.example.com/a/s", "https://h.example.com/a/b?t"]
 
 
+def test_references_without_an_end(spark):
+    """A title that was cut inside a reference: HTML decodes the old names all the same, SQL's replacements do not."""
+    df = spark.createDataFrame([("a&amp;&amp",), ("&lt;b&gt; &#x27;&#39;&quot;&amp;lt;",), ("&nosuch; &notit; &amp",), (None,), ("plain",)], "a string")
+    got = [tuple(r) for r in df.select(html_unescape(F.col("a")), html_unescape(F.col("a"), closed=True)).collect()]
+    assert got == [("a&&", "a&&amp"), ("<b> ''\"&lt;", "<b> ''\"&lt;"), ("&nosuch; ¬it; &", "&nosuch; &notit; &amp"), (None, None), ("plain", "plain")]
+
+
 def test_collect_end_to_end(spark, feeds, tmp_path):
     path, dims = feeds
     rows, _ = union_sources(spark, dims, {"rss": lambda s, d: read_feed_items(s, path, d)})
