@@ -23,9 +23,14 @@ def english_date(text: Column) -> Column:
     return F.coalesce(*(F.try_to_timestamp(found, F.lit(f)) for f in ("MMM. d, yyyy", "MMM d, yyyy", "MMMM d, yyyy")))
 
 
+def written_date(text: Column) -> Column:
+    """The first date with a whole year in a text: English, Japanese, then numeric; midnight UTC."""
+    return F.coalesce(english_date(text), _ymd(text, JAPANESE), _ymd(text, NUMERIC))
+
+
 def parse_date_text(text: Column) -> Column:
-    """The first date in a text: English, Japanese, numeric, then six digits; midnight UTC."""
-    return F.coalesce(english_date(text), _ymd(text, JAPANESE), _ymd(text, NUMERIC), _ymd(text, COMPACT, 2000))
+    """The first date in a text: with a whole year, then six digits; midnight UTC."""
+    return F.coalesce(written_date(text), _ymd(text, COMPACT, 2000))
 
 
 def parse_iso(value: Column) -> Column:

@@ -33,6 +33,7 @@ class Source:
     title_class: str = ""
     date_class: str = ""
     date_formats: tuple[str, ...] = ()
+    numbered_urls: bool = False
 
     @property
     def allow_undated(self) -> bool:
@@ -111,14 +112,14 @@ class Profile:
 def sources_table(spark: SparkSession, profiles: list[Profile]) -> DataFrame:
     """The sources of all profiles as a dimension, in order."""
     rows = [
-        (p.id, s.id, s.name, s.kind, s.url, list(s.extra_urls), list(s.link_patterns), list(s.exclude_patterns), list(s.allowed_domains), s.tier, s.id in p.noisy, s.allow_undated, s.year_templated, s.allow_pdf, s.prefer_feed_content, s.title_class, s.date_class, list(s.date_formats), k)
+        (p.id, s.id, s.name, s.kind, s.url, list(s.extra_urls), list(s.link_patterns), list(s.exclude_patterns), list(s.allowed_domains), s.tier, s.id in p.noisy, s.allow_undated, s.year_templated, s.allow_pdf, s.prefer_feed_content, s.title_class, s.date_class, list(s.date_formats), s.numbered_urls, k)
         for p in profiles
         for k, s in enumerate(p.sources)
     ]
     return spark.createDataFrame(
         rows,
         "profile_id string, source string, name string, kind string, url string, extra_urls array<string>, link_patterns array<string>, exclude_patterns array<string>, allowed_domains array<string>, tier int, is_noisy boolean, allow_undated boolean, "
-        "year_templated boolean, allow_pdf boolean, prefer_feed_content boolean, title_class string, date_class string, date_formats array<string>, source_ord int",
+        "year_templated boolean, allow_pdf boolean, prefer_feed_content boolean, title_class string, date_class string, date_formats array<string>, numbered_urls boolean, source_ord int",
     )
 
 

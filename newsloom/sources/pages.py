@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.dates import parse_date_text, parse_iso, selector_date
+from newsloom.functions.dates import parse_date_text, parse_iso, selector_date, written_date
 from newsloom.functions.text import EXCERPT_CHARS, PAGE_EXCERPT_CHARS, PAGE_SUMMARY_CHARS, SUMMARY_CHARS, content_hash, filled
 from newsloom.operators.gate import domain_allowed, link_allowed, title_gate
 
@@ -136,16 +136,19 @@ def extract_links(pages: DataFrame, sources: DataFrame, date_formats: tuple[str,
     """Article candidates of list pages (page_url, source, html), gated by their sources; one for each url of a page.
 
     The date comes from the source's date element, else from a time element in the link, the link's address, the
-    surrounding item's time elements or text, or the page's address.
+    surrounding item's time elements or text, or the page's address.  Six digits in an address are a date too, unless the
+    source has ``numbered_urls`` (a column that may be absent), whose addresses hold running numbers.
     """
-    dims = F.broadcast(sources.select("source", "link_patterns", "exclude_patterns", "allowed_domains", "allow_pdf", "title_class", "date_class", "source_ord"))
+    numbered = F.coalesce("numbered_urls", F.lit(False)) if "numbered_urls" in sources.columns else F.lit(False)
+    dims = F.broadcast(sources.select("source", "link_patterns", "exclude_patterns", "allowed_domains", "allow_pdf", "title_class", "date_class", "source_ord", numbered.alias("numbered_urls")))
     found = page_links(pages.join(dims.select("source", "title_class", "date_class"), "source")).join(dims.drop("title_class", "date_class"), "source")
     keep = link_allowed(F.col("href"), F.col("resolved"), F.col("exclude_patterns"), F.col("link_patterns"), F.col("allow_pdf")) & domain_allowed(F.col("resolved"), F.col("page_url"), F.col("allowed_domains"))
     kept = found.where(keep & title_gate(F.col("title")))
+    address_date = lambda url: F.when(F.col("numbered_urls"), written_date(F.col(url))).otherwise(parse_date_text(F.col(url)))
     first_time = F.get(F.filter(F.transform("context_times", parse_iso), lambda t: t.isNotNull()), 0)
     date = F.coalesce(
-        selector_date(F.col("date_text"), list(date_formats)), parse_date_text(F.col("date_text")), parse_iso(F.col("time_in_link")), parse_date_text(F.col("resolved")),
-        first_time, parse_date_text(F.col("context")), parse_date_text(F.col("page_url")),
+        selector_date(F.col("date_text"), list(date_formats)), parse_date_text(F.col("date_text")), parse_iso(F.col("time_in_link")), address_date("resolved"),
+        first_time, parse_date_text(F.col("context")), address_date("page_url"),
     )
     rows = kept.groupBy("page_url", "source", "url").agg(F.min_by(F.struct("title", "context", date.alias("published_at"), "pos", "source_ord"), "pos").alias("r")).select("page_url", "source", "url", "r.*")
     return rows.select(

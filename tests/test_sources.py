@@ -66,6 +66,17 @@ def test_list_page(spark):
     }
 
 
+def test_running_numbers_are_no_dates(spark):
+    """Ids of six digits look like 2010-01-03; a source may say that its addresses hold numbers."""
+    html = '<ul><li><a href="/item/100103-x">A first headline here</a> <time datetime="2024-03-01"></time></li></ul><p><a href="/item/2024-03-02/100104-x">A second headline here</a></p><p><a href="/item/100105-x">A third headline here</a></p>'
+    dims = sources_table(spark, [Profile("t", sources=(Source("n", kind="html", numbered_urls=True), Source("d", kind="html")))])
+    pages = spark.createDataFrame([(f"https://{s}.example.com/of/p100106", s, html) for s in "nd"], "page_url string, source string, html string")
+    dates = lambda df, s: [r["published_at"] for r in df.where(F.col("source") == s).orderBy("pos").collect()]
+    got = extract_links(pages, dims)
+    assert dates(got, "n") == [datetime(2024, 3, 1), datetime(2024, 3, 2), None]
+    assert dates(got, "d") == dates(extract_links(pages, dims.drop("numbered_urls")), "d") == [datetime(2010, 1, 3), datetime(2024, 3, 2), datetime(2010, 1, 5)]
+
+
 def test_metadata_fills_only_gaps(spark):
     head = '<head><meta property="article:published_time" content="nonsense"><script type="application/ld+json">{"datePublished": "2024-05-06T07:08:09+02:00"}</script><meta name="description" content=" About it "></head>'
     pages = spark.createDataFrame([("u1", head), ("u2", None), ("u3", '<time datetime="2024-01-02">')], "url string, html string")
